@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["simhash", "mixing", "urls", "warc", "quality_rules"]
+MODULES = ["simhash", "mixing", "urls", "warc", "quality_rules", "toxicity"]
 
 
 def queries() -> dict:
