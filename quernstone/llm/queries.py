@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["simhash", "mixing", "urls", "warc", "quality_rules", "toxicity", "quality_model", "substring", "decontaminate"]
+MODULES = ["toxicity", "quality_rules", "quality_model", "language_model", "mixing", "decontaminate", "substring", "simhash", "urls", "warc"]
 
 
 def queries() -> dict:
