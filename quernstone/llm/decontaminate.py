@@ -1,17 +1,20 @@
-"""Benchmark decontamination by template canonicalisation (DataFrame functions only).
-
-Words become template words: numbers, units after numbers and names (capitals
-inside a sentence) turn into typed placeholders, others are lower-cased without
-outer punctuation. Hashes of all runs of `window` template words of the
-documents meet those of the benchmark in a hash join. A passage of a document
-covers an item if windows at one shift match `coverage` of the item's windows.
-Its slots must then be consistent: within the passage each value of the item's
-placeholders has one value in the document, and the other way round. So
-re-parameterised questions count, and texts that merely share a form do not.
-
-The benchmark's windows are broadcast only if a count of them is at most
-`broadcast_rows`; else they are shuffled. Items of fewer words than a window, and
-windows with under `literals` words that aren't placeholders, match nothing.
+r"""Benchmark decontamination by template canonicalisation (DataFrame functions only).
+
+Texts become template words: a few replacements over the whole text turn names
+(capitals inside a sentence), numbers and units after numbers into typed
+placeholders, then drop punctuation and case. Hashes of all runs of `window`
+template words of the documents meet those of the benchmark in a hash join. A
+passage of a document covers an item if windows at one shift match `coverage` of
+the item's windows. Its slots must then be consistent: within the passage each
+value of the item's placeholders has one value in the document, and the other
+way round. So re-parameterised questions count, and texts that merely share a form
+do not.
+
+Windows are hashed and looked up as the words are exploded, so only hits leave a
+task. The benchmark's windows are broadcast only if a count of them is at most
+`broadcast_rows`; else both sides are shuffled. Items of fewer words than a window,
+and windows with under `literals` words that aren't placeholders, match nothing.
+
 Nulls and empty texts hold no passages; repeated rows of a doc_id are one
 document; null ids are left out of the matches. Empty tables give empty results;
 extra columns are ignored.
@@ -24,90 +27,69 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, materialize, table
 
-BLANK = " \t\n\x0b\x0c\r"
-OUTER = ".,;:!?\"'()[]{}|*<>_-«»“”‘’…¿¡"
-UNITS = "mm cm m km in ft yd mile miles mg g kg t lb oz ml l s sec min h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent % °c °f kb mb gb tb hz khz mhz ghz w kw v mph km/h".split()
-NUMBER, UNIT, NAME = "\x01n", "\x01u", "\x01p"
+UNITS = "mm cm m km in ft yd mile miles mg g kg t lb oz ml l s sec min h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent °c °f kb mb gb tb hz khz mhz ghz w kw v mph"
+SLOT = "\x01"
+NAMES = r"\p{Lu}(?<=[^.!?|:\"\s] \p{Lu})(?=\p{Ll})[\p{L}'’-]*"
+NUMBERS = r"\d[\d.,:/]*"
+PUNCTUATION = r"[.,;:!?\"'()\[\]{}|*<>_\-«»“”‘’…¿¡#$%&€£]+"
 
 
-def with_words(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Array `words` (as written) beside the columns `keep`."""
-    inner = F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(BLANK))
-    return df.select(*keep, F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE)).alias("words"))
+def trimmed_words(text: Column) -> Column:
+    """Words between runs of separators; none for a blank text."""
+    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
-def is_number(core: Column) -> Column:
-    return F.ascii(core).between(48, 57) | (F.substring(core, 1, 1).isin("$", "€", "£") & F.ascii(F.substring(core, 2, 1)).between(48, 57))
+def value_words(text: Column) -> Column:
+    """Words without punctuation and case; it has a place for each template word."""
+    return trimmed_words(F.lower(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), PUNCTUATION, "")))
 
 
-def template(words: str = "words") -> Column:
-    """Array of template words; it has a place for each word."""
+def template_words(text: Column) -> Column:
+    """Words of `value_words` with names, numbers and units replaced."""
+    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), NAMES, SLOT + "p")
+    t = F.regexp_replace(t, NUMBERS, SLOT + "n")
+    units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
+    t = F.regexp_replace(t, rf"({SLOT}n[)\"']*\s?)(?i:{units})(?![\p{{L}}\d{SLOT}])", f"$1{SLOT}u")
+    return trimmed_words(F.lower(F.regexp_replace(t, PUNCTUATION, "")))
 
-    def one(w: Column, i: Column) -> Column:
-        core = F.btrim(w, F.lit(OUTER))
-        first = F.ascii(core)
-        before = F.get(words, i - 1)
-        capital = first.between(65, 90) & (F.upper(core) != core)
-        starts = before.isNull() | F.substring(before, -1, 1).isin(".", "!", "?", "|", ":", '"')
-        low = F.lower(core)
-        number = is_number(core)
-        unit = low.isin(UNITS) & F.coalesce(is_number(F.btrim(before, F.lit(OUTER))), F.lit(False))
-        return F.when(number, NUMBER).when(capital & ~starts, NAME).when(unit, UNIT).otherwise(low)
 
-    return F.transform(words, one)
+def windows(df: DataFrame, keep: list[str], window: int) -> DataFrame:
+    """keep, values, template, pos and hash of every run of `window` template words."""
+    rows = df.select(*keep, value_words(F.col("text")).alias("values"), template_words(F.col("text")).alias("template"))
+    each = rows.select(*keep, "values", "template", F.posexplode("template").alias("pos", "word"))
+    each = each.where(F.col("pos") <= F.size("template") - window)
+    return each.withColumn("hash", F.xxhash64(*(F.get("template", F.col("pos") + k) for k in range(window))))
 
 
-def window_hashes(df: DataFrame, of: str, window: int) -> DataFrame:
-    """Adds `hash`: of each run of `window` elements (a power of two) of the array `of`."""
-    out = df.withColumn("__1", F.transform(of, lambda w: F.xxhash64(w)))
-    step = 1
-    while step < window:
-        m = F.greatest(F.size(f"__{step}") - step, F.lit(0))
-        a, b = F.slice(f"__{step}", F.lit(1), m), F.slice(f"__{step}", F.lit(step + 1), m)
-        out = out.withColumn(f"__{2 * step}", F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))).drop(f"__{step}")
-        step *= 2
-    return out.withColumnRenamed(f"__{step}", "hash")
+def part(of: str, window: int) -> Column:
+    return F.slice(of, F.col("pos") + 1, window)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
-    """item_id, at, hash and n (the item's windows that can match)."""
-    items = window_hashes(with_words(benchmark, ["item_id"]).withColumn("template", template()), "template", window)
-    each = items.select("item_id", "template", F.posexplode("hash").alias("at", "hash"))
-    words = F.size(F.filter(F.slice("template", F.col("at") + 1, window), lambda t: ~t.startswith("\x01") & (t != "")))
-    good = each.where(words >= literals).select("item_id", "at", "hash").distinct()
+    """item_id, at, hash, asked and kinds (the window's values and template words), n (the item's windows that can match)."""
+    each = windows(benchmark, ["item_id"], window).select("item_id", F.col("pos").alias("at"), "hash", part("values", window).alias("asked"), part("template", window).alias("kinds"))
+    good = each.where(F.size(F.filter("kinds", lambda t: ~t.contains(SLOT))) >= literals).dropDuplicates(["item_id", "at", "hash"])
     counts = good.groupBy("item_id").agg(F.count("*").alias("n"))
     return materialize(good.join(counts, "item_id"), "bench-windows")
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.8, literals: int = 4, broadcast_rows: int = 2_000_000) -> DataFrame:
+def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, literals: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, item_id, shift (place of the item's first word), matched, windows: covered items with consistent slots."""
     wanted = benchmark_windows(benchmark.where("item_id is not null"), window, literals)
-    small = F.broadcast if wanted.count() <= broadcast_rows else lambda df: df
-    known = docs.where("doc_id is not null")
-    hashed = window_hashes(with_words(known, ["doc_id"]).withColumn("template", template()).select("doc_id", "template"), "template", window)
-    each = hashed.select("doc_id", F.posexplode("hash").alias("pos", "hash"))
-    met = each.join(small(wanted), "hash").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", "n")
-    runs = met.groupBy("doc_id", "item_id", "shift", "n").agg(F.count_distinct("at").alias("matched"))
-    found = materialize(runs.where(F.col("matched") >= coverage * F.col("n")), "passages")
-    bad = inconsistent(known, benchmark, found)
-    good = found.join(bad, ["doc_id", "item_id", "shift"], "left_anti")
-    return good.select("doc_id", "item_id", "shift", "matched", F.col("n").alias("windows"))
-
-
-def inconsistent(docs: DataFrame, benchmark: DataFrame, found: DataFrame) -> DataFrame:
-    """The passages in which a slot's value stands for two values."""
-    slots = with_words(benchmark, ["item_id"]).withColumn("template", template())
-    slots = slots.select("item_id", F.posexplode(F.arrays_zip("words", "template")).alias("at", "s")).where(F.col("s.template").isin(NUMBER, UNIT, NAME))
-    slots = slots.select("item_id", "at", F.col("s.template").alias("kind"), F.lower(F.btrim(F.col("s.words"), F.lit(OUTER))).alias("asked"))
-    asked = found.select("doc_id", "item_id", "shift").join(slots, "item_id")
-    # Only documents with a passage bring their words; those without slots bring none.
-    holders = asked.select("doc_id").distinct()
-    texts = with_words(docs.join(holders, "doc_id", "left_semi"), ["doc_id"]).dropDuplicates(["doc_id"])
-    said = F.lower(F.btrim(F.get("words", (F.col("shift") + F.col("at")).cast("int")), F.lit(OUTER)))
-    pairs = asked.join(texts, "doc_id").select("doc_id", "item_id", "shift", "kind", "asked", F.coalesce(said, F.lit("")).alias("said")).distinct()
-    keys = ["doc_id", "item_id", "shift"]
-    twice = [pairs.groupBy(*keys, "kind", side).agg(F.count("*").alias("n")).where("n > 1").select(*keys) for side in ("asked", "said")]
-    return twice[0].unionByName(twice[1]).distinct()
+    each = windows(docs.where("doc_id is not null"), ["doc_id"], window)
+    said = part("values", window).alias("said")
+    if wanted.count() <= broadcast_rows:
+        met = each.join(F.broadcast(wanted), "hash").withColumn("said", said)
+    else:
+        met = each.select("doc_id", "pos", "hash", said).join(wanted, "hash")
+    slots = F.filter(F.arrays_zip("kinds", "asked", "said"), lambda x: x["kinds"].contains(SLOT))
+    met = met.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", "n", slots.alias("slots"))
+    runs = met.groupBy("doc_id", "item_id", "shift", "n").agg(F.size(F.collect_set("at")).cast("long").alias("matched"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    side = lambda name: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kinds"], x[name]))))
+    consistent = (F.size("slots") == side("asked")) & (F.size("slots") == side("said"))
+    covered = runs.where((F.col("matched") >= coverage * F.col("n")) & consistent)
+    return covered.select("doc_id", "item_id", "shift", "matched", F.col("n").alias("windows"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
