@@ -142,6 +142,19 @@ def mended(rounded: DataFrame, limit: float) -> DataFrame:
     return moved.withColumn("copies", F.col("copies") + F.when(F.col("row") == F.col("at"), F.col("step")).otherwise(0))
 
 
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes them; `copy` numbers the repeats from 1.
+
+    Rows that repeat a doc_id and a source with texts of one size are taken alike.
+    """
+    plan = balance(docs, weights, share, limit)
+    size = n_words(F.col("text"))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("\0")))
+    picked = plan.where("copies > 0").groupBy(key.alias("__key"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
+    taken = docs.join(picked, (key == F.col("__key")) & (size == F.col("__size")))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate")
 

@@ -11,7 +11,7 @@ All work is on distinct fingerprints, so copies never pair up. A bucket in which
 too many fingerprints meet isn't paired. In `link_exact` its members get one key
 for each ball centre within tau / 2 bits: two fingerprints within tau bits have a
 common centre, and a centre has few owners, so the rest is exact and grows
-linearly. That needs an even, small tau. `link_leaders` serves larger ones.
+linearly. That needs an even, small tau. `similar_texts` serves larger ones.
 
 Nulls and texts without words have fingerprint zero and link like any other.
 Repeated rows and equal texts share a fingerprint. A null doc_id takes part but
@@ -21,6 +21,7 @@ columns are ignored by `fingerprints`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 from math import comb
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, hashes, materialize, signed, table, tokens
+from .common import connected_components, hashes, materialize, remix, rolled, signed, table, tokens
 
 #: A bucket with more meetings than this isn't paired up.
 DENSE = 4096
@@ -58,11 +59,6 @@ def shingle_fingerprint(text: str | None, width: int = 3) -> int:
     return majority(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), np.uint64, n))
 
 
-def word_fingerprint(text: str | None) -> int:
-    """Of the distinct words: an edited word moves it less than three edited shingles."""
-    return majority(hashes(list(set(tokens(text)))))
-
-
 def fingerprints(docs: DataFrame, of: Callable[[str | None], int] = shingle_fingerprint) -> DataFrame:
     """Columns doc_id and fp (long, the 64 bits)."""
 
@@ -218,25 +214,113 @@ def link_exact(fps: DataFrame, tau: int = 2) -> DataFrame:
     return verified(met.where("not dense"), tau).unionByName(centres(thick, tau // 2))
 
 
-def link_leaders(fps: DataFrame, tau: int, weight: str = "n") -> DataFrame:
-    """Links within tau bits, for larger tau: all of them but in dense buckets; columns a and b.
+#: Words of fewer bytes say more about the language than about the text.
+LONG = 5
+#: A bucket that holds more than so many times the meetings of chance goes by leaders.
+FULLER = 16
+LEADERS = 16
+
+
+def signatures(docs: DataFrame, copies: int = 3, width: int = 5, longs: int = 8) -> DataFrame:
+    """doc_id, w (`copies` fingerprints of the distinct long words) and v (64 * `longs` bits of the word shingles).
+
+    An edited word moves w less than v, so w finds candidates; v, being longer, verifies them.
+    """
+    salts = np.random.default_rng(8).integers(1, 1 << 62, copies + longs, dtype=np.int64).astype(np.uint64)
+
+    def of(text: str | None) -> tuple[list[int], list[int]]:
+        words = tokens(text)
+        h = hashes(words)
+        big = np.fromiter((len(w) >= LONG for w in words), bool, len(words))
+        base = np.unique(h[big]) if big.sum() * 4 >= len(h) else np.unique(h)
+        runs = rolled(h, width)
+        as_long = lambda x, k: int(np.uint64(majority(remix(x ^ salts[k]))).view(np.int64))
+        return [as_long(base, k) for k in range(copies)], [as_long(runs, copies + k) for k in range(longs)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for batch in batches:
+            got = [of(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w for w, _ in got], kind), pa.array([v for _, v in got], kind)], ["doc_id", "w", "v"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, w array<long>, v array<long>")
+
+
+def apart(a: Column, b: Column, longs: int) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(longs)), F.lit(0))
 
-    In a dense bucket, members link to the leader (most rows, then least
-    fingerprint); those out of its reach choose the next leader, until none is
-    left. Every member thus leads or links to a leader; two members with
-    different leaders link through another bucket or not at all.
+
+def similar_texts(texts: DataFrame, tau: int = 6, width: int = 5, similarity: float = 0.8, copies: int = 3, longs: int = 8) -> DataFrame:
+    """Links a, b between different signatures (id, w, v, n): within tau bits in one of w, and similar by v.
+
+    Shingle sets of Jaccard similarity s have the cosine 2 s / (1 + s), so v differs
+    in arccos of that over pi of its bits; two standard deviations more are let
+    through. In a bucket much fuller than chance, members are compared with leaders
+    (one for each of 16 parts of the bucket: most rows, then least id) and those out
+    of reach of all choose the next leaders, until none is left.
+    """
+    bits = 64 * longs
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    most = math.floor(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    links = None
+    for copy in range(copies):
+        fps = texts.select(F.get("w", F.lit(copy)).alias("fp")).distinct()
+        n, both = bit_statistics(fps)
+        if n < 2:
+            continue
+        parts = plan(n, both, tau)
+        met = probes(fps, parts)
+        full = met.groupBy("part", "key").agg(F.sum(F.col("own").cast("long")).alias("n_own"), F.count("*").alias("n")).where("n_own >= 1 and n >= 2")
+        chance = F.coalesce(*(F.when(F.col("part") == k, (n / 2.0 ** len(b)) ** 2 * ball(len(b), t)) for k, (b, t) in enumerate(parts)))
+        full = full.select("part", "key", (F.col("n_own") * F.col("n") > DENSE + FULLER * chance).alias("dense"))
+        met = materialize(met.join(full, ["part", "key"]), "meetings")
+        near = materialize(verified(met.where("not dense"), tau), "near")
+        found = [near]
+        rest = met.where("dense").withColumn("cell", F.pmod(F.xxhash64("fp"), F.lit(LEADERS)))
+        while not rest.isEmpty():
+            lead = rest.groupBy("part", "key", "cell").agg(F.min("fp").alias("lead")).drop("cell")
+            close = F.bit_count(F.col("lead").bitwiseXOR(F.col("fp"))) <= tau
+            hit = materialize(rest.join(lead, ["part", "key"]).where(close).select("part", "key", "fp", "lead"), "leaders")
+            found.append(hit.where("lead <> fp").select(F.least("lead", "fp").alias("a"), F.greatest("lead", "fp").alias("b")).distinct())
+            rest = materialize(rest.join(hit.select("part", "key", "fp").distinct(), ["part", "key", "fp"], "left_anti"), "rest")
+        pairs = found[0]
+        for x in found[1:]:
+            pairs = pairs.unionByName(x)
+        # One text stands for those that share a fingerprint; they link to it by v as well.
+        key = texts.select(F.get("w", F.lit(copy)).alias("fp"), "id", "v")
+        of = materialize(key.groupBy("fp").agg(F.min(F.struct("id", "v")).alias("m")).select("fp", F.col("m.id").alias("rep"), F.col("m.v").alias("rep_v")), "representatives")
+        same = key.join(of, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("rep_v").alias("x"), F.col("v").alias("y"))
+        side = lambda name, i, v: of.select(F.col("fp").alias(name), F.col("rep").alias(i), F.col("rep_v").alias(v))
+        cross = pairs.distinct().withColumnsRenamed({"a": "fa", "b": "fb"}).join(side("fa", "a", "x"), "fa").join(side("fb", "b", "y"), "fb").select("a", "b", "x", "y")
+        good = materialize(same.unionByName(cross).where(apart(F.col("x"), F.col("y"), longs) <= most).select("a", "b"), "links")
+        links = good if links is None else links.unionByName(good)
+    if links is None:
+        links = texts.sparkSession.createDataFrame([], "a long, b long")
+    return links
+
+
+def one_of_each(docs: DataFrame, tau: int = 6, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group of linked documents the least doc_id stays.
+
+    Texts without words are copies of each other. A null doc_id counts as the
+    largest. Rows that repeat a doc_id are one document; the row with the least
+    hash of its text speaks for it.
     """
-    parts = plan(*bit_statistics(fps), tau)
-    met = materialize(meetings(fps.select("fp"), parts), "meetings")
-    links = verified(met.where("not dense"), tau)
-    rest = met.where("dense").join(fps.select("fp", weight), "fp")
-    while not rest.isEmpty():
-        lead = rest.where("own").groupBy("part", "key").agg(F.min_by("fp", F.struct(-F.col(weight), F.col("fp"))).alias("lead"))
-        near = F.bit_count(F.col("lead").bitwiseXOR(F.col("fp"))) <= tau
-        judged = materialize(rest.join(lead, ["part", "key"]).withColumn("near", near), "leaders")
-        links = links.unionByName(judged.where("near and lead <> fp").select(F.least("lead", "fp").alias("a"), F.greatest("lead", "fp").alias("b")))
-        rest = judged.where("not near").drop("lead", "near")
-    return links.distinct()
+    last = F.lit((1 << 63) - 1)
+    key = F.coalesce(F.col("doc_id").cast("long"), last)
+    sig = materialize(signatures(docs, width=width).select(F.coalesce("doc_id", last).alias("doc_id"), F.xxhash64("w", "v").alias("id"), "w", "v"), "signatures")
+    texts = materialize(sig.groupBy("id").agg(F.first("w").alias("w"), F.first("v").alias("v"), F.min("doc_id").alias("least")), "texts")
+    groups = connected_components(similar_texts(texts, tau, width, similarity))
+    of = texts.select("id", "least").join(groups, "id", "left").select(F.coalesce("component", "id").alias("component"), "least")
+    stay = of.groupBy("component").agg(F.min("least").alias("__stay")).select("__stay")
+    kept = docs.join(stay, key == F.col("__stay"), "left_semi")
+    twice = materialize(sig.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")), "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    single = kept.join(twice, key == F.col("__twice"), "left_anti")
+    several = kept.join(twice, key == F.col("__twice"), "left_semi").groupBy(key.alias("__key")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("__row"))
+    return single.unionByName(several.select("__row.*"))
 
 
 def components(fps: DataFrame, links: DataFrame) -> DataFrame:

@@ -231,6 +231,16 @@ def learn(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (3, 1), ma
     return fit(materialize(training_rows(docs, labels, "toxic", held, max_rows), "toxic-train"))
 
 
+def without_toxic(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
+    """The rows of docs (whose `text` is a string) that score under `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(plain(t.as_py())) < least for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
