@@ -55,7 +55,7 @@ def nearest(known: dict[int, Summary], features: str) -> Column:
 def k_means(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """id, features, cluster."""
     ready = points.withColumn("__v", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
-    return KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(ready).transform(ready).select("id", "features", "cluster")
+    return KMeans(k=max(2, k), seed=seed, featuresCol="__v", predictionCol="cluster").fit(ready).transform(ready).select("id", "features", "cluster")
 
 
 def split_by_size(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,10 +90,10 @@ class Bfr:
     def retain(self, points: DataFrame) -> None:
         """Cluster what is retained; clusters of several go to CS."""
         n = points.count()
-        if n < 2:
+        if n < 3:  # no clustering leaves one of two alone
             self.rs = points
             return
-        k = 5 * self.k if n > 5 * self.k else max(1, n - 1)
+        k = 5 * self.k if n > 5 * self.k else n - 1
         several, alone = split_by_size(k_means(points, k, self.seed))
         several = settled(several.withColumn("cluster", F.col("cluster") + self.next_cs), "several")
         self.next_cs += k

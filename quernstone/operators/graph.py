@@ -131,27 +131,59 @@ def modularity(edges: DataFrame, labels: DataFrame, degrees_of: DataFrame | None
     return (inside - squares / (2 * m)) / (2 * m)
 
 
+def local_components(edges: list[tuple], ids: list) -> dict:
+    """Least id of each vertex's component."""
+    parent = {v: v for v in ids}
+
+    def root(v):
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return {v: root(v) for v in ids}
+
+
 def girvan_newman(edges: DataFrame, textbook: bool = False) -> DataFrame:
     """id, component of the partition before modularity first falls.
 
     Each round cuts all edges of the highest betweenness (rounded to 5 places).
     Adjacency and m are of the whole graph; degrees are of what is left of it, or of
-    the whole graph if `textbook`.
+    the whole graph if `textbook`. The edges, whose number `edge_betweenness` checks,
+    are on the driver; betweenness is worked out by the executors.
     """
-    whole = settled(both_ways(edges).where("src < dst"), "whole")
-    every = vertices(whole)
-    left, best, best_q = whole, None, None
+    spark = edges.sparkSession
+    undirected = settled(both_ways(edges).where("src < dst"), "whole")
+    kind = undirected.schema["src"].dataType.simpleString()
+    left, best, best_q = undirected, None, None
+    whole: list[tuple] | None = None
     while True:
-        labels = components(left)
-        labels = settled(every.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "partition")
-        q = modularity(whole, labels, whole if textbook else left)
+        ranked = [(r.src, r.dst, round(r.betweenness, 5)) for r in edge_betweenness(left).collect()]
+        remaining = [(a, b) for a, b, _ in ranked]
+        if whole is None:
+            whole, ids = remaining, sorted({v for e in remaining for v in e})
+            if not whole:
+                return spark.createDataFrame([], f"id {kind}, component {kind}")
+        group = local_components(remaining, ids)
+        m, degree = len(whole), dict.fromkeys(ids, 0)
+        for a, b in whole if textbook else remaining:
+            degree[a] += 1
+            degree[b] += 1
+        totals: dict = {}
+        for v in ids:
+            totals[group[v]] = totals.get(group[v], 0) + degree[v]
+        inside = 2 * sum(group[a] == group[b] for a, b in whole)
+        q = (inside - sum(k * k for k in totals.values()) / (2 * m)) / (2 * m)
         if best_q is not None and q < best_q:
-            return best
-        best, best_q = labels, q
-        ranked = settled(edge_betweenness(left).withColumn("betweenness", F.round("betweenness", 5)), "ranked")
-        top = ranked.agg(F.max("betweenness")).first()[0]
-        if top is None:
-            return best
-        left = settled(ranked.where(F.col("betweenness") < top).select("src", "dst"), "left")
-        if left.isEmpty():
-            return best
+            break
+        best, best_q = group, q
+        top = max((x for _, _, x in ranked), default=None)
+        keep = [(a, b) for a, b, x in ranked if x < top] if ranked else []
+        if not keep:
+            break
+        left = spark.createDataFrame(keep, f"src {kind}, dst {kind}")
+    return spark.createDataFrame(sorted(best.items()), f"id {kind}, component {kind}")

@@ -388,8 +388,8 @@ HASHED = "[" + ", ".join(f"(x * {a} + {b}) % 69997" for a, b in coefficients(9))
 
 
 @query(f"""WITH k AS (SELECT CAST(user_id AS VARCHAR) AS key, min(event_id) AS first FROM events GROUP BY 1), x AS (SELECT *, {folded(69997)} AS x FROM k),
-s AS (SELECT key, first, unnest({HASHED}) AS bit FROM x), a AS (SELECT bit, min(first) AS at FROM s GROUP BY 1),
-r AS (SELECT key, first, max(at) AS ready FROM s JOIN a USING (bit) GROUP BY 1, 2)
+s AS (SELECT key, first, unnest({HASHED}) AS bit FROM x), a AS (SELECT bit, min(first) AS set_at FROM s GROUP BY 1),
+r AS (SELECT key, first, max(set_at) AS ready FROM s JOIN a USING (bit) GROUP BY 1, 2)
 SELECT event_id, ready < event_id AS seen, first = event_id AS new FROM events JOIN r ON CAST(user_id AS VARCHAR) = key""")
 def bloom_seen(spark: SparkSession, d: str) -> DataFrame:
     return sketches.bloom_seen(table(spark, d, "events").select("event_id", "user_id"), "event_id", "user_id")
