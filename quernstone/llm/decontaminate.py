@@ -29,47 +29,47 @@ from .common import SPACE, materialize, table
 
 UNITS = "mm cm m km in ft yd mile miles mg g kg t lb oz ml l s sec min h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent °c °f kb mb gb tb hz khz mhz ghz w kw v mph"
 SLOT = "\x01"
+HEAD = 3
 NAMES = r"\p{Lu}(?<=[^.!?|:\"\s] \p{Lu})(?=\p{Ll})[\p{L}'’-]*"
 NUMBERS = r"\d[\d.,:/]*"
 PUNCTUATION = r"[.,;:!?\"'()\[\]{}|*<>_\-«»“”‘’…¿¡#$%&€£]+"
 
 
-def trimmed_words(text: Column) -> Column:
-    """Words between runs of separators; none for a blank text."""
-    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
+def marked_words(text: Column) -> Column:
+    """Words without punctuation and case; names, numbers and units have a mark before them."""
+    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), NAMES, SLOT + "p$0")
+    t = F.regexp_replace(t, NUMBERS, SLOT + "n$0")
+    units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
+    t = F.regexp_replace(t, rf"({SLOT}n[\d.,:/]*[)\"']*\s?)((?i:{units}))(?![\p{{L}}\d{SLOT}])", f"$1{SLOT}u$2")
+    # A blank text gives one empty word; no window holds it.
+    return F.split(F.btrim(F.lower(F.regexp_replace(t, PUNCTUATION, "")), F.lit(" \t\n\x0b\x0c\r")), SPACE)
 
 
-def value_words(text: Column) -> Column:
-    """Words without punctuation and case; it has a place for each template word."""
-    return trimmed_words(F.lower(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), PUNCTUATION, "")))
+def template(word: Column) -> Column:
+    """The template word of a marked word: its placeholders without their values."""
+    return F.when(word.contains(SLOT), F.regexp_replace(word, f"({SLOT}.)[^{SLOT}]*", "$1")).otherwise(word)
 
 
-def template_words(text: Column) -> Column:
-    """Words of `value_words` with names, numbers and units replaced."""
-    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), NAMES, SLOT + "p")
-    t = F.regexp_replace(t, NUMBERS, SLOT + "n")
-    units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
-    t = F.regexp_replace(t, rf"({SLOT}n[)\"']*\s?)(?i:{units})(?![\p{{L}}\d{SLOT}])", f"$1{SLOT}u")
-    return trimmed_words(F.lower(F.regexp_replace(t, PUNCTUATION, "")))
+def windows(df: DataFrame, keep: list[str], window: int) -> DataFrame:
+    """keep, marked and pos: every run of `window` words."""
+    rows = df.select(*keep, marked_words(F.col("text")).alias("marked"))
+    each = rows.select(*keep, "marked", F.posexplode_outer("marked").alias("pos", "word"))  # outer: else a filter on the size splits every text twice
+    return each.where(F.col("pos") <= F.size("marked") - window).drop("word")
 
 
-def windows(df: DataFrame, keep: list[str], window: int) -> DataFrame:
-    """keep, values, template, pos and hash of every run of `window` template words."""
-    rows = df.select(*keep, value_words(F.col("text")).alias("values"), template_words(F.col("text")).alias("template"))
-    each = rows.select(*keep, "values", "template", F.posexplode("template").alias("pos", "word"))
-    each = each.where(F.col("pos") <= F.size("template") - window)
-    return each.withColumn("hash", F.xxhash64(*(F.get("template", F.col("pos") + k) for k in range(window))))
+def hash_of(width: int) -> Column:
+    """Of the `width` template words from pos on."""
+    return F.xxhash64(*(template(F.get("marked", F.col("pos") + k)) for k in range(width)))
 
 
-def part(of: str, window: int) -> Column:
-    return F.slice(of, F.col("pos") + 1, window)
+def part(window: int) -> Column:
+    return F.slice("marked", F.col("pos") + 1, window)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
-    """item_id, at, hash, asked and kinds (the window's values and template words), n (the item's windows that can match)."""
-    each = windows(benchmark, ["item_id"], window).select("item_id", F.col("pos").alias("at"), "hash", part("values", window).alias("asked"), part("template", window).alias("kinds"))
-    good = each.where(F.size(F.filter("kinds", lambda t: ~t.contains(SLOT))) >= literals).dropDuplicates(["item_id", "at", "hash"])
+    """item_id, at, hash, asked (the window's marked words), n (the item's windows that can match)."""
+    each = windows(benchmark, ["item_id"], window).select("item_id", F.col("pos").alias("at"), hash_of(HEAD).alias("head"), hash_of(window).alias("hash"), part(window).alias("asked"))
+    good = each.where(F.size(F.filter("asked", lambda t: ~t.contains(SLOT))) >= literals).dropDuplicates(["item_id", "at", "hash"])
     counts = good.groupBy("item_id").agg(F.count("*").alias("n"))
     return materialize(good.join(counts, "item_id"), "bench-windows")
 
@@ -78,15 +78,18 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: f
     """doc_id, item_id, shift (place of the item's first word), matched, windows: covered items with consistent slots."""
     wanted = benchmark_windows(benchmark.where("item_id is not null"), window, literals)
     each = windows(docs.where("doc_id is not null"), ["doc_id"], window)
-    said = part("values", window).alias("said")
+    said = part(window).alias("said")
     if wanted.count() <= broadcast_rows:
-        met = each.join(F.broadcast(wanted), "hash").withColumn("said", said)
+        # Few windows start with the first words of one of the benchmark's; only those are hashed whole.
+        heads = F.broadcast(wanted.select("head").distinct())
+        some = each.withColumn("head", hash_of(HEAD)).join(heads, "head", "left_semi")
+        met = some.withColumn("hash", hash_of(window)).join(F.broadcast(wanted.drop("head")), "hash").withColumn("said", said)
     else:
-        met = each.select("doc_id", "pos", "hash", said).join(wanted, "hash")
-    slots = F.filter(F.arrays_zip("kinds", "asked", "said"), lambda x: x["kinds"].contains(SLOT))
+        met = each.select("doc_id", "pos", hash_of(window).alias("hash"), said).join(wanted.drop("head"), "hash")
+    slots = F.filter(F.arrays_zip("asked", "said"), lambda x: x["asked"].contains(SLOT))
     met = met.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", "n", slots.alias("slots"))
     runs = met.groupBy("doc_id", "item_id", "shift", "n").agg(F.size(F.collect_set("at")).cast("long").alias("matched"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    side = lambda name: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kinds"], x[name]))))
+    side = lambda name: F.size(F.array_distinct(F.transform("slots", lambda x: x[name])))
     consistent = (F.size("slots") == side("asked")) & (F.size("slots") == side("said"))
     covered = runs.where((F.col("matched") >= coverage * F.col("n")) & consistent)
     return covered.select("doc_id", "item_id", "shift", "matched", F.col("n").alias("windows"))
