@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 from math import comb
 
@@ -252,52 +253,57 @@ def apart(a: Column, b: Column, longs: int) -> Column:
 
 
 def similar_texts(texts: DataFrame, tau: int = 6, width: int = 5, similarity: float = 0.8, copies: int = 3, longs: int = 8) -> DataFrame:
-    """Links a, b between different signatures (id, w, v, n): within tau bits in one of w, and similar by v.
+    """Links a, b between different signatures (id, w, v): within tau bits in one of w, and similar by v.
 
     Shingle sets of Jaccard similarity s have the cosine 2 s / (1 + s), so v differs
     in arccos of that over pi of its bits; two standard deviations more are let
     through. In a bucket much fuller than chance, members are compared with leaders
-    (one for each of 16 parts of the bucket: most rows, then least id) and those out
-    of reach of all choose the next leaders, until none is left.
+    (one for each of 16 cells of the bucket), and those out of reach of all with the
+    leaders of four times as many cells, until none is left: a member that is alone
+    in its cell leads it, so a bucket is through when each has a cell or a leader.
     """
     bits = 64 * longs
     share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     most = math.floor(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
-    links = None
+    spark = texts.sparkSession
+    empty = spark.createDataFrame([], "a long, b long")
+    by_copy = texts.select("id", "v", F.posexplode("w").alias("copy", "fp"))
+    # One text stands for those that share a fingerprint; they link to it by v as well.
+    of = by_copy.groupBy("copy", "fp").agg(F.min(F.struct("id", "v")).alias("m")).select("copy", "fp", F.col("m.id").alias("rep"), F.col("m.v").alias("rep_v"))
+    of = materialize(of, "representatives")
+    all_probes, dense_from = [], {}
     for copy in range(copies):
-        fps = texts.select(F.get("w", F.lit(copy)).alias("fp")).distinct()
+        fps = of.where(F.col("copy") == copy).select("fp")
         n, both = bit_statistics(fps)
         if n < 2:
             continue
         parts = plan(n, both, tau)
-        met = probes(fps, parts)
-        full = met.groupBy("part", "key").agg(F.sum(F.col("own").cast("long")).alias("n_own"), F.count("*").alias("n")).where("n_own >= 1 and n >= 2")
-        chance = F.coalesce(*(F.when(F.col("part") == k, (n / 2.0 ** len(b)) ** 2 * ball(len(b), t)) for k, (b, t) in enumerate(parts)))
-        full = full.select("part", "key", (F.col("n_own") * F.col("n") > DENSE + FULLER * chance).alias("dense"))
-        met = materialize(met.join(full, ["part", "key"]), "meetings")
-        near = materialize(verified(met.where("not dense"), tau), "near")
-        found = [near]
-        rest = met.where("dense").withColumn("cell", F.pmod(F.xxhash64("fp"), F.lit(LEADERS)))
-        while not rest.isEmpty():
-            lead = rest.groupBy("part", "key", "cell").agg(F.min("fp").alias("lead")).drop("cell")
-            close = F.bit_count(F.col("lead").bitwiseXOR(F.col("fp"))) <= tau
-            hit = materialize(rest.join(lead, ["part", "key"]).where(close).select("part", "key", "fp", "lead"), "leaders")
-            found.append(hit.where("lead <> fp").select(F.least("lead", "fp").alias("a"), F.greatest("lead", "fp").alias("b")).distinct())
-            rest = materialize(rest.join(hit.select("part", "key", "fp").distinct(), ["part", "key", "fp"], "left_anti"), "rest")
-        pairs = found[0]
-        for x in found[1:]:
-            pairs = pairs.unionByName(x)
-        # One text stands for those that share a fingerprint; they link to it by v as well.
-        key = texts.select(F.get("w", F.lit(copy)).alias("fp"), "id", "v")
-        of = materialize(key.groupBy("fp").agg(F.min(F.struct("id", "v")).alias("m")).select("fp", F.col("m.id").alias("rep"), F.col("m.v").alias("rep_v")), "representatives")
-        same = key.join(of, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("rep_v").alias("x"), F.col("v").alias("y"))
-        side = lambda name, i, v: of.select(F.col("fp").alias(name), F.col("rep").alias(i), F.col("rep_v").alias(v))
-        cross = pairs.distinct().withColumnsRenamed({"a": "fa", "b": "fb"}).join(side("fa", "a", "x"), "fa").join(side("fb", "b", "y"), "fb").select("a", "b", "x", "y")
-        good = materialize(same.unionByName(cross).where(apart(F.col("x"), F.col("y"), longs) <= most).select("a", "b"), "links")
-        links = good if links is None else links.unionByName(good)
-    if links is None:
-        links = texts.sparkSession.createDataFrame([], "a long, b long")
-    return links
+        all_probes.append(probes(fps, parts).withColumn("part", F.col("part") + 16 * copy))
+        dense_from |= {16 * copy + k: DENSE + FULLER * (n / 2.0 ** len(b)) ** 2 * ball(len(b), t) for k, (b, t) in enumerate(parts)}
+    same = by_copy.join(of, ["copy", "fp"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("rep_v").alias("x"), F.col("v").alias("y"))
+    good = same.where(apart(F.col("x"), F.col("y"), longs) <= most).select("a", "b")
+    if not all_probes:
+        return good.unionByName(empty)
+    met = reduce(DataFrame.unionByName, all_probes)
+    full = met.groupBy("part", "key").agg(F.sum(F.col("own").cast("long")).alias("n_own"), F.count("*").alias("n")).where("n_own >= 1 and n >= 2")
+    limit = F.coalesce(*(F.when(F.col("part") == k, x) for k, x in dense_from.items()))
+    met = materialize(met.join(full.select("part", "key", (F.col("n_own") * F.col("n") > limit).alias("dense")), ["part", "key"]), "meetings")
+    thin = met.where("not dense")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
+    side = lambda df, name: df.select("part", "key", F.col("fp").alias(name))
+    found = [side(thin.where("own"), "a").join(side(thin, "b"), ["part", "key"]).where((F.col("a") != F.col("b")) & near).select("part", "a", "b")]
+    rest, cells = materialize(met.where("dense").select("part", "key", "fp"), "rest"), LEADERS
+    while not rest.isEmpty():
+        cell = rest.withColumn("cell", F.pmod(F.xxhash64("fp", F.lit(cells)), F.lit(cells)))
+        lead = cell.groupBy("part", "key", "cell").agg(F.min("fp").alias("a")).drop("cell")
+        hit = materialize(rest.join(lead, ["part", "key"]).withColumnRenamed("fp", "b").where(near).select("part", "key", "a", "b"), "leaders")
+        found.append(hit.where("a <> b").select("part", "a", "b"))
+        rest = materialize(rest.join(side(hit.withColumnRenamed("b", "fp"), "fp").distinct(), ["part", "key", "fp"], "left_anti"), "rest")
+        cells *= 4
+    pairs = reduce(DataFrame.unionByName, found).select(F.floor(F.col("part") / 16).cast("int").alias("copy"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    end = lambda fp, i, v: of.select("copy", F.col("fp").alias(fp), F.col("rep").alias(i), F.col("rep_v").alias(v))
+    cross = pairs.withColumnsRenamed({"a": "fa", "b": "fb"}).join(end("fa", "a", "x"), ["copy", "fa"]).join(end("fb", "b", "y"), ["copy", "fb"])
+    return good.unionByName(cross.where(apart(F.col("x"), F.col("y"), longs) <= most).select("a", "b"))
 
 
 def one_of_each(docs: DataFrame, tau: int = 6, width: int = 5, similarity: float = 0.8) -> DataFrame:
