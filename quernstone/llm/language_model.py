@@ -50,7 +50,8 @@ def word_keys(text: str | None) -> np.ndarray:
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
     inside = np.append((raw != 32) & ((raw < 9) | (raw > 13)), False)
     last = np.flatnonzero(inside[:-1] & ~inside[1:])
-    two = raw[last].astype(np.uint64) * np.uint64(256) + np.where(last > 0, raw[np.maximum(last - 1, 0)], 32)
+    # Of a word of one byte, the byte before is not looked at.
+    two = raw[last].astype(np.uint64) * np.uint64(256) + np.where((last > 0) & inside[last - 1], raw[last - 1], 32)
     spelling = remix(two) >> np.uint64(58)
     keys = (hashes(words) & ~np.uint64(SPELLINGS - 1)) | spelling
     return np.append(keys.view(np.int64), END)
