@@ -55,7 +55,8 @@ def record_text(date: str) -> Column:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("record_type") == "revisit"
-    one_line = F.regexp_replace(text("uri"), r"[\r\n]+", " ")
+    # A magic in a header would cut it in two; as an escape it is the same target.
+    one_line = F.replace(F.regexp_replace(text("uri"), r"[\r\n]+", " "), F.lit(MAGIC), F.lit("WARC%2F1."))
     return F.concat(
         F.lit("WARC/1.0\r\n"),
         line("WARC-Type", F.col("record_type")),
