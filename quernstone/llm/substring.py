@@ -12,7 +12,7 @@ runs; `bands` of `rows` values, chosen for recall at the threshold, make them
 collide, exact Jaccard similarity verifies, and components of verified pairs are
 classes. In each class the occurrence with the least (doc_id, position) stays. A
 bucket of more than `DENSE` distinct paragraphs compares its members with
-leaders in turn until none is left, not with each other.
+leaders until none is left, not with each other.
 
 Lower-cased words between ASCII separators are compared. Nulls, empty texts and
 texts without words have no paragraphs. Repeated rows of a doc_id are one
@@ -81,91 +81,79 @@ def digests(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return remix(np.add.reduceat(mixed, starts) + (ends - starts).astype(np.uint64))
 
 
-def units(docs: DataFrame, radius: int) -> DataFrame:
-    """doc_id, first, words, para: a row for each paragraph."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, first, words, para = [], [], [], []
-            for d, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                h, s, e = paragraphs(t.as_py(), radius)
-                ids.append(np.full(len(s), d.as_py() if d.is_valid else -1 << 63, np.int64))
-                first.append(s)
-                words.append(e - s)
-                para.append(digests(h, s, e))
-                if len(ids) >= 2000:
-                    yield block(ids, first, words, para)
-                    ids, first, words, para = [], [], [], []
-            yield block(ids, first, words, para)
-
-    def block(ids: list, first: list, words: list, para: list) -> pa.RecordBatch:
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        p = signed(cat(para, np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(cat(ids, np.int64)), pa.array(cat(first, np.int32)), pa.array(cat(words, np.int32)), pa.array(p)], ["doc_id", "first", "words", "para"])
-
-    return ids_and_text(docs).mapInArrow(run, "doc_id long, first int, words int, para long")
-
-
-def ids_and_text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def shingled(docs: DataFrame, radius: int, shingle: int, min_banded: int, bands: int, rows: int) -> DataFrame:
-    """para, keys (band hashes) and shingles (32-bit, distinct) of long paragraphs, once per text and paragraph."""
+def units(docs: DataFrame, radius: int, shingle: int, min_banded: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, first, words, para: a row for each paragraph; long ones with keys (band hashes) and shingles (32 bits, distinct)."""
     rng = np.random.default_rng(7)
     mult = rng.integers(1, 1 << 62, bands * rows, dtype=np.int64).astype(np.uint64) | np.uint64(1)
     plus = rng.integers(1, 1 << 62, bands * rows, dtype=np.int64).astype(np.uint64)
 
+    def signed_set(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = np.unique(rolled(h, shingle))
+        low = ((g[None, :] * mult[:, None] + plus[:, None]) >> np.uint64(13)).min(1).reshape(bands, rows)
+        key = np.arange(1, bands + 1, dtype=np.uint64)
+        for r in range(rows):
+            key = remix(key ^ low[:, r])
+        return signed(key), np.unique((g >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            para, keys, sets = [], [], []
-            for t in batch.column("text"):
+            parts: list[tuple] = []
+            sets: list = []
+            for d, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 h, s, e = paragraphs(t.as_py(), radius)
-                p = digests(h, s, e)
+                parts.append((np.full(len(s), d.as_py() if d.is_valid else -1 << 63, np.int64), s, e - s, digests(h, s, e)))
+                own: list = [None] * len(s)
                 for k in np.flatnonzero(e - s >= min_banded):
-                    g = np.unique(rolled(h[s[k] : e[k]], shingle))
-                    low = ((g[None, :] * mult[:, None] + plus[:, None]) >> np.uint64(13)).min(1).reshape(bands, rows)
-                    key = np.arange(1, bands + 1, dtype=np.uint64)
-                    for r in range(rows):
-                        key = remix(key ^ low[:, r])
-                    para.append(p[k])
-                    keys.append(signed(key))
-                    sets.append(np.unique((g >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                if len(para) >= 5000:
-                    yield block(para, keys, sets)
-                    para, keys, sets = [], [], []
-            yield block(para, keys, sets)
+                    own[k] = signed_set(h[s[k] : e[k]])
+                sets += own
+                if len(parts) >= 1000:
+                    yield block(parts, sets)
+                    parts, sets = [], []
+            yield block(parts, sets)
 
     def lists(x: list, t) -> pa.Array:
-        ends = np.cumsum([0, *map(len, x)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if x else np.zeros(0, t), type=pa.from_numpy_dtype(t)))
+        sizes = np.array([0 if v is None else len(v) for v in x], np.int32)
+        ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32), mask=np.array([*(v is None for v in x), False], bool))
+        full = [v for v in x if v is not None]
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(full) if full else np.zeros(0, t), type=pa.from_numpy_dtype(t)))
+
+    def block(parts: list, sets: list) -> pa.RecordBatch:
+        cat = lambda k, t: np.concatenate([x[k] for x in parts]).astype(t) if parts else np.zeros(0, t)
+        flat = [pa.array(cat(0, np.int64)), pa.array(cat(1, np.int32)), pa.array(cat(2, np.int32)), pa.array(signed(cat(3, np.uint64)))]
+        return pa.RecordBatch.from_arrays([*flat, lists([x and x[0] for x in sets], np.int64), lists([x and x[1] for x in sets], np.int32)], ["doc_id", "first", "words", "para", "keys", "shingles"])
 
-    def block(para: list, keys: list, sets: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.array(para, np.uint64).view(np.int64)), lists(keys, np.int64), lists(sets, np.int32)], ["para", "keys", "shingles"])
+    return ids_and_text(docs).mapInArrow(run, "doc_id long, first int, words int, para long, keys array<long>, shingles array<int>")
 
-    return ids_and_text(docs).mapInArrow(run, "para long, keys array<long>, shingles array<int>")
+
+def ids_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def similar(docs: DataFrame, radius: int, shingle: int, min_banded: int, threshold: float) -> DataFrame:
-    """Verified pairs a, b of different paragraphs with Jaccard similarity `threshold` or more."""
-    bands, rows = tune(threshold)
-    found = shingled(docs, radius, shingle, min_banded, bands, rows)
-    banded = found.select("para", F.explode("keys").alias("key")).groupBy("key", "para").agg(F.lit(1).alias("one")).drop("one")
-    # A window would gather a hot bucket; counts and minima are summed in part first.
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("para").alias("lead")).where("n > 1")
+def similar(found: DataFrame, threshold: float) -> DataFrame:
+    """Verified pairs a, b of different paragraphs with Jaccard similarity `threshold` or more. found: as of `units`, written down.
+
+    In a bucket of more than DENSE paragraphs, members are compared with leaders
+    (one for each of 16 cells), and those that are like none of them with the leaders
+    of four times as many cells, until none is left.
+    """
+    long = found.where("keys is not null")
+    banded = long.select("para", F.explode("keys").alias("key")).groupBy("key", "para").agg(F.lit(1).alias("one")).drop("one")
+    # A window would gather a hot bucket; counts are summed in part first.
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(banded.join(sizes, "key"), "buckets")
     thin = met.where(F.col("n") <= DENSE)
     near = thin.select("key", F.col("para").alias("a")).join(thin.select("key", F.col("para").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    sets = materialize(found.join(met.select("para").distinct(), "para", "left_semi").groupBy("para").agg(F.first("shingles").alias("shingles")).select("para", "shingles"), "shingles")
+    sets = materialize(long.select("para", "shingles").join(met.select("para").distinct(), "para", "left_semi").groupBy("para").agg(F.first("shingles").alias("shingles")), "shingles")
     links = verified(near, sets, threshold)
-    rest = met.where(F.col("n") > DENSE).select("key", "para", "lead")
+    rest, cells = materialize(met.where(F.col("n") > DENSE).select("key", "para"), "rest"), 16
     while not rest.isEmpty():
-        pairs = rest.where("para <> lead").select("key", F.col("lead").alias("a"), F.col("para").alias("b"))
-        got = materialize(verified(pairs.select("a", "b").distinct(), sets, threshold), "leaders")
+        lead = rest.groupBy("key", F.pmod(F.xxhash64("para", F.lit(cells)), F.lit(cells)).alias("cell")).agg(F.min("para").alias("a")).drop("cell")
+        pairs = rest.join(lead, "key").select("key", "a", F.col("para").alias("b"))
+        got = materialize(verified(pairs.where("a <> b").select("a", "b").distinct(), sets, threshold), "leaders")
         links = links.unionByName(got)
-        left = rest.where("para <> lead").join(got.select(F.col("a").alias("lead"), F.col("b").alias("para")), ["lead", "para"], "left_anti").select("key", "para")
-        left = materialize(left, "rest")
-        rest = left.join(left.groupBy("key").agg(F.min("para").alias("lead")), "key")
+        through = pairs.join(got, ["a", "b"], "left_semi").select("key", F.col("b").alias("para")).unionByName(lead.select("key", F.col("a").alias("para"))).distinct()
+        rest = materialize(rest.join(through, ["key", "para"], "left_anti"), "rest")
+        cells *= 4
     return links
 
 
@@ -175,15 +163,15 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def repeats(docs: DataFrame, min_words: int = 25, radius: int = 6, shingle: int = 5, min_banded: int = 24, threshold: float = 0.8) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 15, radius: int = 6, shingle: int = 5, min_banded: int = 24, threshold: float = 0.8) -> DataFrame:
     """doc_id, first, words: maximal runs of repeated paragraphs, in words of the text.
 
     doc_id is the least long for null ids. A run has `min_words` words or more.
     """
-    found = materialize(units(docs, radius), "paragraphs")
+    found = materialize(units(docs, radius, shingle, min_banded, *tune(threshold)), "paragraphs")
     place = F.struct(F.when(F.col("doc_id") == -(1 << 63), (1 << 63) - 1).otherwise(F.col("doc_id")).alias("doc"), "first")
     equal = found.groupBy("para").agg(F.min(place).alias("keep"), F.count("*").alias("n"))
-    pairs = materialize(similar(docs, radius, shingle, min_banded, threshold), "similar")
+    pairs = materialize(similar(found, threshold), "similar")
     of = connected_components(pairs).withColumnRenamed("id", "para")
     classes = equal.join(of, "para", "left")
     linked = classes.where("component is not null")
