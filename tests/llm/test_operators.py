@@ -198,14 +198,14 @@ def test_repeats_are_cut(spark, edge):
 
 
 def test_toxic_passages(spark, edge):
-    clean = [(i, " ".join(f"calm{(i * 7 + k) % 50}" for k in range(60))) for i in range(60)]
-    toxic = [(100 + i, " ".join(f"calm{(i * 3 + k) % 50}" for k in range(40)) + " " + " ".join(f"vile{(i * 5 + k * k + i * k) % 9}" for k in range(12))) for i in range(40)]
-    train = spark.createDataFrame([(t, 0) for _, t in clean] + [(t, 1) for _, t in toxic], "text string, y int")
-    model = toxicity.fit(train)
-    assert model.score(toxicity.plain(toxic[0][1])) > model.score(toxicity.plain(clean[0][1]))
-    found = model.segments(toxicity.plain("calm1 vile1 vile2 calm2 calm3 vile3"))
-    assert found and all(a < b and s > 0 for a, b, s in found)
-    assert toxicity.score(edge, model).count() == len(EDGE) and toxicity.fit(train.limit(0)).score([]) == 0.0
+    model = toxicity.Model({b"vile%d" % k: 3.0 for k in range(9)}, {}, 5, -0.5)
+    model.weights = [-2.0, 1.5, 1.0]
+    calm = " ".join(f"calm{k}" for k in range(40))
+    words = toxicity.plain(f"{calm} vile1, vile2 calm1 vile3 {calm}")
+    assert model.segments(words) == [(40, 44, 8.5)]
+    assert model.score(words) > 0.7 > model.score(toxicity.plain(calm))
+    assert toxicity.score(edge, model).count() == len(EDGE)
+    assert toxicity.fit(spark.createDataFrame([], "text string, y int")).score([]) == 0.0
 
 
 def test_urls(spark):
