@@ -135,7 +135,7 @@ def frequent_itemsets_brand(spark: SparkSession, d: str) -> DataFrame:
 
 @query(itemset_sql(f"SELECT o_custkey AS basket, l_suppkey AS item FROM {JOINED}", (200, 200, 10**9)) + " WHERE n < 1000000000")
 def frequent_itemsets_supplier(spark: SparkSession, d: str) -> DataFrame:
-    return as_rows(itemsets.frequent(itemsets.baskets(sales(spark, d), "o_custkey", "l_suppkey"), 200, max_size=2))
+    return as_rows(itemsets.frequent(itemsets.baskets(sales(spark, d), "o_custkey", "l_suppkey"), 200))
 
 
 DAILY = "SELECT strftime(ts, '%Y-%m-%d') || '-' || user_id AS basket, event_type AS item FROM events"

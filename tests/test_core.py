@@ -1,6 +1,7 @@
 """Worked fixtures of the core operators."""
 
 import math
+from itertools import combinations
 
 import duckdb
 import pytest
@@ -52,6 +53,17 @@ def test_frequent_itemsets_levels_and_fpgrowth(spark):
     assert itemsets.baskets(spark.createDataFrame(data, "k long, i string"), "k", "i", more_than=2).select("basket").distinct().count() == 2
 
 
+def test_frequent_itemsets_go_on_until_a_level_is_empty(spark):
+    data = [(k, i) for k in range(3) for i in "abcde"] + [(k, i) for k in range(3, 5) for i in "abcd"] + [(5, "a")]
+    pairs = itemsets.baskets(spark.createDataFrame(data, "k long, i string"), "k", "i")
+    sets = [set("abcde")] * 3 + [set("abcd")] * 2 + [{"a"}]
+    for support in (3, 4):
+        counts = {c: sum(s.issuperset(c) for s in sets) for k in range(1, 6) for c in combinations("abcde", k)}
+        want = {(len(c), c, n) for c, n in counts.items() if n >= support}
+        assert max(want)[0] == (5 if support == 3 else 4)
+        assert {(r.size, tuple(r["items"]), r.n) for r in itemsets.frequent(pairs, support).collect()} == want
+
+
 def test_item_cf_worked_example(spark):
     # The best known case: user 1's only positive neighbour of item 3 is item 2, rated 1.
     data = [(1, 1, 4.0), (1, 2, 1.0), (1, 4, 4.0), (2, 1, 2.0), (2, 2, 5.0), (2, 3, 5.0), (2, 4, 1.0), (3, 1, 5.0), (3, 2, 2.0), (3, 3, 1.0), (3, 4, 5.0)]
