@@ -252,38 +252,61 @@ def apart(a: Column, b: Column, longs: int) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(longs)), F.lit(0))
 
 
+def by_leaders(rest: DataFrame, alike: Callable[[DataFrame], DataFrame], tau: int, cells: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links a, b between ids of one bucket, and the leaders (part, key, id, fp). rest: part, key, id, fp, written down.
+
+    Members are compared with the leader of each cell of their bucket. Only a
+    link that `alike` confirms takes a member out; the others meet the leaders of
+    four times as many cells, until none is left.
+    """
+    links, leaders = [], []
+    while not rest.isEmpty():
+        cell = F.pmod(F.xxhash64("id", F.lit(cells)), F.lit(cells)).alias("cell")
+        lead = rest.groupBy("part", "key", cell).agg(F.min(F.struct("id", "fp")).alias("m")).select("part", "key", F.col("m.id").alias("a"), F.col("m.fp").alias("fa"))
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= tau
+        met = materialize(rest.join(lead, ["part", "key"]).where("id <> a").where(near).select("part", "key", "a", F.col("id").alias("b")), "reached")
+        good = materialize(alike(met.select("a", "b").distinct()), "leaders")
+        through = met.join(good, ["a", "b"], "left_semi").select("part", "key", F.col("b").alias("id")).unionByName(lead.select("part", "key", F.col("a").alias("id")))
+        links.append(good)
+        leaders.append(lead.withColumnsRenamed({"a": "id", "fa": "fp"}))
+        rest = materialize(rest.join(through.distinct(), ["part", "key", "id"], "left_anti"), "rest")
+        cells *= 4
+    return links, leaders
+
+
 def similar_texts(texts: DataFrame, tau: int = 6, width: int = 5, similarity: float = 0.8, copies: int = 3, longs: int = 8) -> DataFrame:
     """Links a, b between different signatures (id, w, v): within tau bits in one of w, and similar by v.
 
     Shingle sets of Jaccard similarity s have the cosine 2 s / (1 + s), so v differs
     in arccos of that over pi of its bits; two standard deviations more are let
-    through. In a bucket much fuller than chance, members are compared with leaders
-    (one for each of 16 cells of the bucket), and those out of reach of all with the
-    leaders of four times as many cells, until none is left: a member that is alone
-    in its cell leads it, so a bucket is through when each has a cell or a leader.
+    through. Texts that share a fingerprint, and those in a bucket much fuller than
+    chance, are compared with leaders (see `by_leaders`): a member that is like one
+    of them by v isn't compared with other members there.
     """
     bits = 64 * longs
     share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     most = math.floor(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
-    spark = texts.sparkSession
-    empty = spark.createDataFrame([], "a long, b long")
-    by_copy = texts.select("id", "v", F.posexplode("w").alias("copy", "fp"))
-    # One text stands for those that share a fingerprint; they link to it by v as well.
-    of = by_copy.groupBy("copy", "fp").agg(F.min(F.struct("id", "v")).alias("m")).select("copy", "fp", F.col("m.id").alias("rep"), F.col("m.v").alias("rep_v"))
-    of = materialize(of, "representatives")
+    end = lambda i, v: texts.select(F.col("id").alias(i), F.col("v").alias(v))
+    alike = lambda pairs: pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").where(apart(F.col("x"), F.col("y"), longs) <= most).select("a", "b")
+    by_copy = texts.select("id", F.posexplode("w").alias("copy", "fp"))
+    sizes = by_copy.groupBy("copy", "fp").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    shared = by_copy.join(sizes.where("n > 1").select("copy", "fp"), ["copy", "fp"]).select(F.col("copy").alias("part"), F.col("fp").alias("key"), "id", "fp")
+    links, leaders = by_leaders(materialize(shared, "shared"), alike, 0, 1)
+    # The leaders stand for the texts that share their fingerprint.
+    alone = sizes.where("n = 1").select("copy", "fp", "id")
+    of = materialize(reduce(DataFrame.unionByName, (x.select(F.col("part").alias("copy"), "fp", "id") for x in leaders), alone), "representatives")
     all_probes, dense_from = [], {}
     for copy in range(copies):
-        fps = of.where(F.col("copy") == copy).select("fp")
+        fps = of.where(F.col("copy") == copy).select("fp").distinct()
         n, both = bit_statistics(fps)
         if n < 2:
             continue
         parts = plan(n, both, tau)
         all_probes.append(probes(fps, parts).withColumn("part", F.col("part") + 16 * copy))
         dense_from |= {16 * copy + k: DENSE + FULLER * (n / 2.0 ** len(b)) ** 2 * ball(len(b), t) for k, (b, t) in enumerate(parts)}
-    same = by_copy.join(of, ["copy", "fp"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("rep_v").alias("x"), F.col("v").alias("y"))
-    good = same.where(apart(F.col("x"), F.col("y"), longs) <= most).select("a", "b")
+    links = reduce(DataFrame.unionByName, links, texts.sparkSession.createDataFrame([], "a long, b long"))
     if not all_probes:
-        return good.unionByName(empty)
+        return links
     met = reduce(DataFrame.unionByName, all_probes)
     full = met.groupBy("part", "key").agg(F.sum(F.col("own").cast("long")).alias("n_own"), F.count("*").alias("n")).where("n_own >= 1 and n >= 2")
     limit = F.coalesce(*(F.when(F.col("part") == k, x) for k, x in dense_from.items()))
@@ -291,19 +314,14 @@ def similar_texts(texts: DataFrame, tau: int = 6, width: int = 5, similarity: fl
     thin = met.where("not dense")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
     side = lambda df, name: df.select("part", "key", F.col("fp").alias(name))
-    found = [side(thin.where("own"), "a").join(side(thin, "b"), ["part", "key"]).where((F.col("a") != F.col("b")) & near).select("part", "a", "b")]
-    rest, cells = materialize(met.where("dense").select("part", "key", "fp"), "rest"), LEADERS
-    while not rest.isEmpty():
-        cell = rest.withColumn("cell", F.pmod(F.xxhash64("fp", F.lit(cells)), F.lit(cells)))
-        lead = cell.groupBy("part", "key", "cell").agg(F.min("fp").alias("a")).drop("cell")
-        hit = materialize(rest.join(lead, ["part", "key"]).withColumnRenamed("fp", "b").where(near).select("part", "key", "a", "b"), "leaders")
-        found.append(hit.where("a <> b").select("part", "a", "b"))
-        rest = materialize(rest.join(side(hit.withColumnRenamed("b", "fp"), "fp").distinct(), ["part", "key", "fp"], "left_anti"), "rest")
-        cells *= 4
-    pairs = reduce(DataFrame.unionByName, found).select(F.floor(F.col("part") / 16).cast("int").alias("copy"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    end = lambda fp, i, v: of.select("copy", F.col("fp").alias(fp), F.col("rep").alias(i), F.col("rep_v").alias(v))
-    cross = pairs.withColumnsRenamed({"a": "fa", "b": "fb"}).join(end("fa", "a", "x"), ["copy", "fa"]).join(end("fb", "b", "y"), ["copy", "fb"])
-    return good.unionByName(cross.where(apart(F.col("x"), F.col("y"), longs) <= most).select("a", "b"))
+    copy_of = F.floor(F.col("part") / 16).cast("int").alias("copy")
+    pairs = side(thin.where("own"), "a").join(side(thin, "b"), ["part", "key"]).where((F.col("a") != F.col("b")) & near)
+    pairs = pairs.select(copy_of, F.least("a", "b").alias("fa"), F.greatest("a", "b").alias("fb")).distinct()
+    rep = lambda fp, i: of.select("copy", F.col("fp").alias(fp), F.col("id").alias(i))
+    cross = pairs.join(rep("fa", "a"), ["copy", "fa"]).join(rep("fb", "b"), ["copy", "fb"]).select("a", "b").distinct()
+    dense = met.where("dense").select("part", "key", "fp", copy_of).join(of, ["copy", "fp"]).select("part", "key", "id", "fp")
+    led, _ = by_leaders(materialize(dense, "rest"), alike, tau, LEADERS)
+    return reduce(DataFrame.unionByName, led, links.unionByName(alike(cross)))
 
 
 def one_of_each(docs: DataFrame, tau: int = 6, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -186,6 +187,25 @@ def test_one_near_copy_stays(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("w", ["equal", "near"])
+def test_only_verified_leaders_take_members(spark, monkeypatch, w):
+    # Pairs of near copies whose bucket holds many texts of other v: all w are equal, or within 6 bits of each other.
+    rng = np.random.default_rng(3)
+    word = lambda: rng.integers(-(1 << 63), (1 << 63) - 1, 8, dtype=np.int64)
+    base, rows, want = [int(x) for x in rng.integers(1, 1 << 60, 3)], [], set()
+    near = [sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(80)]
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    for k in range(40):
+        v = word()
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, [signed(b ^ near[i] if w == "near" else b) for b in base], [int(x) for x in v ^ (i % 2)]))
+        want.add((2 * k, 2 * k + 1))
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    monkeypatch.setattr(simhash, "FULLER", 0)
+    texts = spark.createDataFrame(rows, "id long, w array<long>, v array<long>")
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.similar_texts(texts).collect()} == want
+
+
 def test_repeats_are_cut(spark, edge):
     passage = " ".join(f"shared{i}" for i in range(80))
     own = lambda k: " ".join(f"own{k}x{i}" for i in range(60))
