@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share: `spark.checkpoint.dir`. Without it only a session on one machine gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.mkdtemp(prefix="quernstone-"))
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -21,9 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage of an iteration by a table in the shared folder; it outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/quernstone-core/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/quernstone/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := df.__dict__.pop("settled_at", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def write_json(df: DataFrame, path: str) -> None:
