@@ -22,9 +22,9 @@ def clip(c: Column, low: float = 0.0, high: float = 5.0) -> Column:
 
 
 def n_listed(c: str | Column) -> Column:
-    """Number of comma-separated values; null and 'None' have none."""
+    """Number of comma-separated values; null, '' and 'None' in any case have none."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.isNull() | (c == "None"), 0).otherwise(F.size(F.split(c, ",")))
+    return F.when(c.isNull() | F.lower(c).isin("", "none"), 0).otherwise(F.size(F.split(c, ",")))
 
 
 def n_keys(m: str) -> Column:

@@ -63,3 +63,14 @@ def histogram(df: DataFrame, column: str, edges: tuple[int, ...] = (1, 2, 3, 4))
 
 def rmse(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     return df.agg(F.sqrt(F.avg(F.pow(F.col(truth) - F.col(prediction), F.lit(2.0)))).alias("rmse"))
+
+
+def bernoulli(df: DataFrame, key: str, fraction: float) -> DataFrame:
+    """Each row with the chance `fraction`, by 32 bits of the MD5 of its key, so reruns and partitionings take the same rows."""
+    u = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.where(u < int(fraction * (1 << 32)))
+
+
+def with_default(truth: DataFrame, predictions: DataFrame, keys: list[str], value: str, default: float = 0.0) -> DataFrame:
+    """Every row of truth with its prediction, `default` where there is none."""
+    return truth.join(predictions, keys, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))

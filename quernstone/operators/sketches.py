@@ -38,6 +38,6 @@ def flajolet_martin(events: DataFrame, batch: Column, key: str, hashes: int = 50
     return ordered.select("batch", "truth", ((F.col("s")[(n - 1) // 2] + F.col("s")[n // 2]) / 2).alias("estimate"))
 
 
-def reservoir(events: DataFrame, key: str, size: int = 100, a: int = 7919, b: int = 104729, m: int = 1000003) -> DataFrame:
-    """A uniform sample that reruns repeat: the `size` keys of least hash, ties by key."""
-    return events.select(key, ((F.col(key) * a + b) % m).alias("priority")).orderBy("priority", key).limit(size)
+def reservoir(events: DataFrame, key: str, size: int = 100) -> DataFrame:
+    """A uniform sample that reruns repeat: the `size` keys of least MD5, and that digest as `priority`."""
+    return events.select(key, F.md5(F.col(key).cast("string").cast("binary")).alias("priority")).orderBy("priority", key).limit(size)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import coefficients
 from ..operators import clustering, graph, itemsets, recommend, relational, similarity, sketches
+from ..sources import sinks
 from ..sources.tables import table
 from ..streaming import sketches as streams
 
@@ -106,21 +107,25 @@ def as_rows(found: DataFrame) -> DataFrame:
     return found.select(F.col("size").cast("long").alias("size"), F.array_join(F.col("items").cast("array<string>"), "|").alias("items"), "n")
 
 
-def itemset_sql(pairs: str, supports: tuple[int, int, int]) -> str:
-    s1, s2, s3 = supports
+def itemset_sql(pairs: str, share: float, sizes: int) -> str:
+    """All itemsets up to `sizes` in that share of the baskets, each level from sets that are frequent."""
+    support = f"(SELECT greatest(1, ceil({share} * count(DISTINCT basket))) FROM b)"
+    levels, parts = [], []
+    for k in range(2, sizes + 1):
+        names = ", ".join(f"i{j}" for j in range(1, k))
+        levels.append(f"f{k - 1} AS (SELECT {names} FROM l{k - 1} GROUP BY ALL HAVING count(*) >= {support})")
+        levels.append(f"l{k} AS (SELECT p.*, k.item AS i{k} FROM l{k - 1} p JOIN f{k - 1} USING ({names}) JOIN k ON p.basket = k.basket AND k.item > p.i{k - 1})")
+    for k in range(1, sizes + 1):
+        names = ", ".join(f"i{j}" for j in range(1, k + 1))
+        parts.append(f"SELECT CAST({k} AS BIGINT) AS size, concat_ws('|', {names}) AS items, count(*) AS n FROM l{k} GROUP BY {names} HAVING count(*) >= {support}")
     return f"""WITH b AS (SELECT DISTINCT basket, item FROM ({pairs})),
-f AS (SELECT item FROM b GROUP BY item HAVING count(*) >= {s1}), k AS (SELECT b.* FROM b JOIN f USING (item)),
-p AS (SELECT x.item AS i, y.item AS j, count(*) AS n FROM k x JOIN k y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= {s2}),
-t AS (SELECT x.item AS i, y.item AS j, z.item AS l, count(*) AS n FROM k x JOIN k y ON x.basket = y.basket AND x.item < y.item
-  JOIN k z ON x.basket = z.basket AND y.item < z.item GROUP BY 1, 2, 3 HAVING count(*) >= {s3})
-SELECT CAST(1 AS BIGINT) AS size, CAST(item AS VARCHAR) AS items, count(*) AS n FROM k GROUP BY item
-UNION ALL SELECT 2, i || '|' || j, n FROM p
-UNION ALL SELECT 3, i || '|' || j || '|' || l, n FROM t"""
+k AS (SELECT * FROM b WHERE item IN (SELECT item FROM b GROUP BY item HAVING count(*) >= {support})), l1 AS (SELECT basket, item AS i1 FROM k){''.join(', ' + x for x in levels)}
+{' UNION ALL '.join(parts)}"""
 
 
 BRANDS = "SELECT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
-#: Supports at sf0.01; other sizes have as many baskets, in proportion.
-BRAND_SUPPORT = 80
+#: Supports are shares of the baskets.
+BRAND_SHARE, SUPPLIER_SHARE, DAILY_SHARE, CROSS_SHARE = 0.0054, 0.2, 0.01, 0.027
 
 
 def brand_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -128,28 +133,44 @@ def brand_pairs(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.baskets(line.join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey"), "l_orderkey", "p_brand")
 
 
-@query(itemset_sql(BRANDS, (BRAND_SUPPORT, BRAND_SUPPORT, BRAND_SUPPORT)))
+def in_share(pairs: DataFrame, share: float) -> DataFrame:
+    return itemsets.frequent(pairs, itemsets.support_of(pairs, share))
+
+
+@query(itemset_sql(BRANDS, BRAND_SHARE, 4))
 def frequent_itemsets_brand(spark: SparkSession, d: str) -> DataFrame:
-    return as_rows(itemsets.frequent(brand_pairs(spark, d), BRAND_SUPPORT))
+    return as_rows(in_share(brand_pairs(spark, d), BRAND_SHARE))
 
 
-@query(itemset_sql(f"SELECT o_custkey AS basket, l_suppkey AS item FROM {JOINED}", (200, 200, 10**9)) + " WHERE n < 1000000000")
+@query(itemset_sql(f"SELECT o_custkey AS basket, l_suppkey AS item FROM {JOINED}", SUPPLIER_SHARE, 10))
 def frequent_itemsets_supplier(spark: SparkSession, d: str) -> DataFrame:
-    return as_rows(itemsets.frequent(itemsets.baskets(sales(spark, d), "o_custkey", "l_suppkey"), 200))
+    return as_rows(in_share(itemsets.baskets(sales(spark, d), "o_custkey", "l_suppkey"), SUPPLIER_SHARE))
 
 
 DAILY = "SELECT strftime(ts, '%Y-%m-%d') || '-' || user_id AS basket, event_type AS item FROM events"
+DAILY_BASKETS = f"SELECT * FROM ({DAILY}) WHERE basket IN (SELECT basket FROM ({DAILY}) GROUP BY basket HAVING count(DISTINCT item) > 2)"
 
 
-@query(itemset_sql(f"SELECT * FROM ({DAILY}) WHERE basket IN (SELECT basket FROM ({DAILY}) GROUP BY basket HAVING count(DISTINCT item) > 2)", (20, 20, 20)))
-def frequent_itemsets_daily(spark: SparkSession, d: str) -> DataFrame:
+def daily_itemsets(spark: SparkSession, d: str) -> DataFrame:
     keyed = table(spark, d, "events").select(F.concat_ws("-", F.date_format("ts", "yyyy-MM-dd"), "user_id").alias("basket"), "event_type")
-    return as_rows(itemsets.frequent(itemsets.baskets(keyed, "basket", "event_type", more_than=2), 20))
+    return in_share(itemsets.baskets(keyed, "basket", "event_type", more_than=2), DAILY_SHARE)
+
+
+@query(itemset_sql(DAILY_BASKETS, DAILY_SHARE, 6))
+def frequent_itemsets_daily(spark: SparkSession, d: str) -> DataFrame:
+    return as_rows(daily_itemsets(spark, d))
+
 
+@query(f"""SELECT size, string_agg(line, ',' ORDER BY line) AS line FROM (
+SELECT size, '(' || chr(39) || replace(items, '|', chr(39) || ', ' || chr(39)) || chr(39) || ')' AS line FROM ({itemset_sql(DAILY_BASKETS, DAILY_SHARE, 6)})) GROUP BY size""")
+def itemset_report(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.itemset_report(daily_itemsets(spark, d)).withColumn("size", F.col("size").cast("long"))
 
-@query(itemset_sql(BRANDS, (400, 400, 400)))
+
+@query(itemset_sql(BRANDS, CROSS_SHARE, 3))
 def fpgrowth_crosscheck(spark: SparkSession, d: str) -> DataFrame:
-    return as_rows(itemsets.by_fpgrowth(brand_pairs(spark, d), 400))
+    pairs = brand_pairs(spark, d)
+    return as_rows(itemsets.by_fpgrowth(pairs, itemsets.support_of(pairs, CROSS_SHARE)))
 
 
 # --- similarity ----------------------------------------------------------------
@@ -254,12 +275,12 @@ def item_cf_predict(spark: SparkSession, d: str) -> DataFrame:
     return recommend.predict_cf(train, test).withColumn("prediction", F.round("prediction", 4))
 
 
-TESTED = f'WITH {PREDICTED}, y AS (SELECT user_id AS "user", event_type AS item, {STARS} AS stars FROM events WHERE event_id % 10 = 0), j AS (SELECT * FROM y JOIN f USING ("user", item))'
+TESTED = f'WITH {PREDICTED}, y AS (SELECT user_id AS "user", event_type AS item, {STARS} AS stars FROM events WHERE event_id % 10 = 0), j AS (SELECT y.*, coalesce(f.prediction, 0) AS prediction FROM y LEFT JOIN f USING ("user", item))'
 
 
 def tested(spark: SparkSession, d: str) -> DataFrame:
     train, test = split_ratings(spark, d)
-    return test.join(recommend.predict_cf(train, test), ["user", "item"])
+    return relational.with_default(test, recommend.predict_cf(train, test), ["user", "item"], "prediction")
 
 
 @query(f"{TESTED} SELECT round(sqrt(avg((stars - prediction) * (stars - prediction))), 6) AS rmse FROM j")
@@ -310,7 +331,7 @@ def rating_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
 @query()
 def gbt_predict(spark: SparkSession, d: str) -> DataFrame:
     train, test, names = rating_features(spark, d)
-    return recommend.predict_boosted(train, test, names, "r", trees=20).select("user", "item", "prediction")
+    return recommend.predict_boosted(train, test, names, "r", trees=100).select("user", "item", "prediction")
 
 
 @query()
@@ -361,9 +382,21 @@ def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return graph.label_propagation(edges_of(spark, d))
 
 
-@query()
+def betweenness_sql(levels: int = 12) -> str:
+    """Shortest paths level by level, then for every edge and pair of ends the share of their paths that take it."""
+    steps = ["p0 AS MATERIALIZED (SELECT DISTINCT src AS s, src AS v, CAST(1 AS DOUBLE) AS n FROM l)", "a0 AS MATERIALIZED (SELECT s, v, 0 AS d, n FROM p0)"]
+    for k in range(1, levels + 1):
+        steps.append(f"p{k} AS MATERIALIZED (SELECT p.s, l.dst AS v, sum(p.n) AS n FROM p{k - 1} p JOIN l ON l.src = p.v WHERE NOT EXISTS (SELECT 1 FROM a{k - 1} a WHERE a.s = p.s AND a.v = l.dst) GROUP BY 1, 2)")
+        steps.append(f"a{k} AS MATERIALIZED (SELECT * FROM a{k - 1} UNION ALL SELECT s, v, {k}, n FROM p{k})")
+    return f"""WITH {EDGES}, {', '.join(steps)}
+SELECT src, dst, round(sum(x.n * y.n / z.n), 4) AS betweenness FROM l
+JOIN a{levels} x ON x.v = src JOIN a{levels} y ON y.v = dst JOIN a{levels} z ON z.s = x.s AND z.v = y.s
+WHERE x.d + 1 + y.d = z.d AND src < dst GROUP BY src, dst"""
+
+
+@query(betweenness_sql())
 def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return graph.edge_betweenness(edges_of(spark, d))
+    return graph.edge_betweenness(edges_of(spark, d)).withColumn("betweenness", F.round("betweenness", 4))
 
 
 @query()
@@ -414,7 +447,12 @@ def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").agg(F.approx_count_distinct("user_id", 0.01).alias("n_users"))
 
 
-RESERVOIR = "SELECT event_id, (event_id * 7919 + 104729) % 1000003 AS priority FROM events ORDER BY priority, event_id LIMIT 100"
+RESERVOIR = "SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS priority FROM events ORDER BY priority, event_id LIMIT 100"
+
+
+@query("SELECT event_id, event_type FROM events WHERE CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) < CAST(floor(0.2 * 4294967296) AS BIGINT)")
+def bernoulli_sample(spark: SparkSession, d: str) -> DataFrame:
+    return relational.bernoulli(table(spark, d, "events").select("event_id", "event_type"), "event_id", 0.2)
 
 
 @query(RESERVOIR)
@@ -427,7 +465,11 @@ def stream_reservoir(spark: SparkSession, d: str) -> DataFrame:
     return streams.stream_reservoir(streams.read_events(spark, d), "event_id")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS batch, count(DISTINCT user_id) AS n, CAST(0 AS BIGINT) AS seen FROM events")
+@query(f"""WITH e AS (SELECT event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS batch, CAST(user_id AS VARCHAR) AS key FROM events),
+k AS (SELECT DISTINCT batch, key FROM e), x AS (SELECT *, {folded(69997)} AS x FROM k), s AS (SELECT batch, key, unnest({HASHED}) AS bit FROM x),
+a AS (SELECT bit, min(batch) AS set_at FROM s GROUP BY 1), f AS (SELECT key, min(batch) AS first FROM k GROUP BY 1),
+r AS (SELECT s.batch, s.key, max(set_at) < s.batch AS seen, any_value(first) = s.batch AS new FROM s JOIN a USING (bit) JOIN f ON f.key = s.key GROUP BY 1, 2)
+SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, count(*) FILTER (seen) AS seen, count(*) FILTER (seen AND new) AS wrong FROM r GROUP BY batch""")
 def stream_bloom(spark: SparkSession, d: str) -> DataFrame:
     return streams.stream_bloom(streams.read_events(spark, d), "user_id")
 

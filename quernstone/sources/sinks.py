@@ -51,7 +51,7 @@ def write_text(df: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str, digits: int | None = None, header: bool = True) -> None:
     """Doubles at `digits` decimals, or in full."""
     shown = {n: F.format_string(f"%.{digits}f", n) for n, t in df.dtypes if t == "double" and digits is not None}
-    df.withColumns(shown).write.mode("overwrite").csv(path, header=header)
+    df.withColumns(shown).write.mode("overwrite").csv(path, header=header, quote="\"", escape="\"")
 
 
 def append_log(df: DataFrame, path: str) -> None:

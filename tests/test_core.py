@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from quernstone.functions import scalars
 from quernstone.operators import clustering, graph, itemsets, recommend, relational, similarity, sketches
-from quernstone.plans import catalogue
+from quernstone.plans import catalogue, interchange
 from quernstone.sources import sinks, tables
 
 SF = "/root/testdata/sf0.001"
@@ -25,14 +25,14 @@ def plain(x):
     return f"{x:.5g}" if isinstance(x, float) else str(x)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - RATHER_SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql() | interchange.SQL) - RATHER_SLOW))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = __spark_entry__.queries()[name](spark, SF)
     names = sorted(got.columns)
-    asked = con.execute(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    asked = con.execute(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
     assert sorted(tuple(map(plain, r)) for r in got.select(*names).collect()) == sorted(tuple(map(plain, r)) for r in asked)
 
 
@@ -90,6 +90,38 @@ def test_betweenness_and_communities(spark):
     assert sinks.edge_report(graph.edge_betweenness(edges)).first().line == "('B', 'D'),12.0"
 
 
+def test_betweenness_by_joins(spark):
+    edges = spark.createDataFrame([*TEXTBOOK, ("X", "Y"), ("Y", "Z")], "src string, dst string")
+    by = lambda df: {(r.src, r.dst): r.betweenness for r in df.collect()}
+    assert by(graph.betweenness_by_joins(edges)) == pytest.approx(by(graph.edge_betweenness(edges)))
+    assert graph.betweenness_by_joins(edges.limit(0)).count() == 0
+
+
+def test_missing_predictions_are_zero(spark):
+    truth = spark.createDataFrame([(1, 1, 4.0), (1, 2, 3.0)], "user long, item long, stars double")
+    got = relational.with_default(truth, spark.createDataFrame([(1, 1, 4.0)], "user long, item long, prediction double"), ["user", "item"], "prediction")
+    assert relational.rmse(got, "stars", "prediction").first().rmse == pytest.approx((9 / 2) ** 0.5)
+
+
+def test_samples(spark):
+    df = spark.range(20000).select((F.col("id") + 2 * 10**15).alias("id"))
+    assert abs(relational.bernoulli(df, "id", 0.2).count() - 4000) < 300
+    got = [r.id for r in sketches.reservoir(df, "id", 1000).collect()]
+    assert len(set(got)) == 1000 and abs(sum(got) / 1000 - 2 * 10**15 - 10000) < 1000
+    assert got == [r.id for r in sketches.reservoir(df.repartition(5), "id", 1000).collect()]
+
+
+def test_lists_without_values(spark):
+    df = spark.createDataFrame([("",), ("none",), ("None",), (None,), ("a",), ("a, b",)], "c string")
+    assert [r[0] for r in df.select(scalars.n_listed("c")).collect()] == [0, 0, 0, 0, 1, 2]
+
+
+def test_malformed_json_fails(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"user_id": "u"}\n{"user_id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.json_lines(spark, str(tmp_path / "r.json"), tables.REVIEW).collect()
+
+
 def test_modularity_of_the_textbook_split(spark):
     edges = spark.createDataFrame(TEXTBOOK, "src string, dst string")
     cut = edges.where("not (src = 'B' and dst = 'D')")
