@@ -11,7 +11,12 @@ All work is on distinct fingerprints, so copies never pair up. A bucket in which
 too many fingerprints meet isn't paired. In `link_exact` its members get one key
 for each ball centre within tau / 2 bits: two fingerprints within tau bits have a
 common centre, and a centre has few owners, so the rest is exact and grows
-linearly. That needs an even, small tau. `similar_texts` serves larger ones.
+linearly. That needs an even, small tau.
+
+Near copies of texts (`similar_texts`, `one_of_each`) have several weighted
+fingerprints each. Whoever meets is compared by whole sets of five-word shingles.
+`common.linked` tries one pair a member within groups of copies, and all pairs
+that could still join two groups, so no verified pair of a bucket is lost.
 
 Nulls and texts without words have fingerprint zero and link like any other.
 Repeated rows and equal texts share a fingerprint. A null doc_id takes part but
@@ -21,7 +26,6 @@ columns are ignored by `fingerprints`.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations, repeat
@@ -33,10 +37,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, hashes, materialize, remix, rolled, signed, table, tokens
+from .common import connected_components, discard, hashes, linked, materialize, prefixes, remix, rolled, signed, similar_sets, table, tokens, unused
 
-#: A bucket with more meetings than this isn't paired up.
+#: A bucket with more meetings than this goes by centres in `link_exact`, which changes no link.
 DENSE = 4096
+#: The same in `similar_texts`, where texts then meet by their rarest shingles; that finds all similar ones.
+FULL = 64
+#: A pair of strangers in a bucket costs about as much as so many probes.
+STRANGER = 16
 
 
 def majority(h: np.ndarray) -> int:
@@ -128,7 +136,7 @@ def estimate(n: int, both: np.ndarray, bits: list[int], t: int) -> float:
     for x in q:
         poly[1:] = poly[1:] * (1 - x) + poly[:-1] * x
         poly[0] *= 1 - x
-    return n * n / 2 * poly.sum() + n * 2 * ball(len(bits), t)
+    return STRANGER * n * n / 2 * poly.sum() + n * 2 * ball(len(bits), t)
 
 
 def ball(width: int, t: int) -> int:
@@ -169,8 +177,9 @@ def mask_of(bits: tuple[int, ...] | list[int]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """Rows part, key, own (stored or only probing), fp."""
+def probes(fps: DataFrame, parts: list[tuple[list[int], int]], keep: list[str] | None = None) -> DataFrame:
+    """Rows part, key, own (stored or only probing), fp and the columns `keep`."""
+
     def probe(k: int, bits: list[int], t: int) -> Column:
         value = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
         near = [mask_of(x) for r in range(t + 1) for x in combinations(bits, r)]
@@ -178,7 +187,7 @@ def probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
         return F.transform(F.array(*map(F.lit, near)), own)
 
     rows = [probe(k, bits, t) for k, (bits, t) in enumerate(parts)]
-    return fps.select("fp", F.explode(F.concat(*rows)).alias("p")).select("p.part", "p.key", "p.own", "fp")
+    return fps.select("fp", *(keep or []), F.explode(F.concat(*rows)).alias("p")).select("p.part", "p.key", "p.own", "fp", *(keep or []))
 
 
 def meetings(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
@@ -215,116 +224,87 @@ def link_exact(fps: DataFrame, tau: int = 2) -> DataFrame:
     return verified(met.where("not dense"), tau).unionByName(centres(thick, tau // 2))
 
 
-#: Words of fewer bytes say more about the language than about the text.
-LONG = 5
-#: A bucket that holds more than so many times the meetings of chance goes by leaders.
-FULLER = 16
-LEADERS = 16
+def signatures(docs: DataFrame, copies: int = 8, width: int = 5) -> DataFrame:
+    """doc_id, id (hash of the set of `width`-word shingles), n (size of that set) and w (`copies` fingerprints).
 
+    Fingerprints are of that set. In each copy a shingle weighs 1 / -ln u, u uniform by
+    its hash: so few shingles decide most bits, and in a share of the copies that
+    grows with the similarity two texts have the same ones, whether edits are
+    scattered or a block. With equal weights all bits would move a little: at
+    similarity 0.8 some 10 of 64, too many to probe for.
+    """
+    salts = np.random.default_rng(8).integers(1, 1 << 62, copies, dtype=np.int64).astype(np.uint64)
+    powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+    def of(text: str | None) -> tuple[int, int, list[int]]:
+        h = hashes(tokens(text))
+        if len(h) == 0:
+            return 0, 0, [0] * copies
+        whole = np.unique(rolled(h, width))
+        bits = np.unpackbits(whole.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
+        u = (remix(whole[None, :] ^ salts[:, None]) >> np.uint64(11)).astype(np.float64) + 0.5
+        votes = (-1 / np.log(u / 2.0**53)).astype(np.float32) @ bits
+        w = np.where(votes > 0, powers, np.uint64(0)).sum(1, dtype=np.uint64)
+        return int(signed(remix(whole).sum(dtype=np.uint64).reshape(1))[0]), len(whole), signed(w).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, n, w = zip(*(of(t.as_py()) for t in batch.column("text")), strict=True) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(w, pa.list_(pa.int64()))], ["doc_id", "id", "n", "w"])
 
-def signatures(docs: DataFrame, copies: int = 3, width: int = 5, longs: int = 8) -> DataFrame:
-    """doc_id, w (`copies` fingerprints of the distinct long words) and v (64 * `longs` bits of the word shingles).
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, id long, n int, w array<long>")
 
-    An edited word moves w less than v, so w finds candidates; v, being longer, verifies them.
-    """
-    salts = np.random.default_rng(8).integers(1, 1 << 62, copies + longs, dtype=np.int64).astype(np.uint64)
 
-    def of(text: str | None) -> tuple[list[int], list[int]]:
-        words = tokens(text)
-        h = hashes(words)
-        big = np.fromiter((len(w) >= LONG for w in words), bool, len(words))
-        base = np.unique(h[big]) if big.sum() * 4 >= len(h) else np.unique(h)
-        runs = rolled(h, width)
-        as_long = lambda x, k: int(np.uint64(majority(remix(x ^ salts[k]))).view(np.int64))
-        return [as_long(base, k) for k in range(copies)], [as_long(runs, copies + k) for k in range(longs)]
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """id (as of `signatures`) and elements: the distinct shingles as 32 bits of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
         for batch in batches:
-            got = [of(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w for w, _ in got], kind), pa.array([v for _, v in got], kind)], ["doc_id", "w", "v"])
+            sets = [np.unique(rolled(hashes(tokens(t.as_py())), width)) for t in batch.column("text")]
+            ids = [int(signed(remix(g).sum(dtype=np.uint64).reshape(1))[0]) if len(g) else 0 for g in sets]
+            low = [np.unique((g >> np.uint64(32)).astype(np.uint32).view(np.int32)) for g in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(low, pa.list_(pa.int32()))], ["id", "elements"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, w array<long>, v array<long>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, elements array<int>")
 
 
-def apart(a: Column, b: Column, longs: int) -> Column:
-    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(longs)), F.lit(0))
+def text_buckets(texts: DataFrame, tau: int, copies: int) -> DataFrame:
+    """key, id, own, fp, n: who meets in some partition of some copy. texts: id, n, w, written down."""
+    fps = texts.select("id", "n", F.posexplode("w").alias("copy", "fp"))
+    total, both = bit_statistics(fps)
+    if total == 0:
+        return texts.select(F.col("id").alias("key"), "id", F.lit(True).alias("own"), F.lit(0).cast("long").alias("fp"), "n").limit(0)
+    # The copies differ in weights only, so one plan for the number of texts does for all.
+    parts = plan(total // copies, both / copies, tau, reach=1 if tau <= 3 else 2)
+    rows = probes(fps, parts, ["id", "n", "copy"]).select(F.xxhash64("copy", "part", "key").alias("key"), "id", "own", "fp", "n")
+    full = rows.groupBy("key").agg(F.count_if("own").alias("n_own"), F.count("*").alias("n"), F.bit_count(F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))).alias("spread"))
+    # The spread of two is their distance.
+    full = full.where(f"n_own >= 1 and n >= 2 and not (n = 2 and spread > {tau})")
+    return materialize(rows.join(full.select("key"), "key", "left_semi"), "meetings")
 
 
-def by_leaders(rest: DataFrame, alike: Callable[[DataFrame], DataFrame], tau: int, cells: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Links a, b between ids of one bucket, and the leaders (part, key, id, fp). rest: part, key, id, fp, written down.
+def similar_texts(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], tau: int = 2, similarity: float = 0.8, copies: int = 8) -> DataFrame:
+    """id, component of texts (id, n, w) that lie within tau bits in some copy and are similar by their whole shingle sets.
 
-    Members are compared with the leader of each cell of their bucket. Only a
-    link that `alike` confirms takes a member out; the others meet the leaders of
-    four times as many cells, until none is left.
-    """
-    links, leaders = [], []
-    while not rest.isEmpty():
-        cell = F.pmod(F.xxhash64("id", F.lit(cells)), F.lit(cells)).alias("cell")
-        lead = rest.groupBy("part", "key", cell).agg(F.min(F.struct("id", "fp")).alias("m")).select("part", "key", F.col("m.id").alias("a"), F.col("m.fp").alias("fa"))
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= tau
-        met = materialize(rest.join(lead, ["part", "key"]).where("id <> a").where(near).select("part", "key", "a", F.col("id").alias("b")), "reached")
-        good = materialize(alike(met.select("a", "b").distinct()), "leaders")
-        through = met.join(good, ["a", "b"], "left_semi").select("part", "key", F.col("b").alias("id")).unionByName(lead.select("part", "key", F.col("a").alias("id")))
-        links.append(good)
-        leaders.append(lead.withColumnsRenamed({"a": "id", "fa": "fp"}))
-        rest = materialize(rest.join(through.distinct(), ["part", "key", "id"], "left_anti"), "rest")
-        cells *= 4
-    return links, leaders
-
-
-def similar_texts(texts: DataFrame, tau: int = 6, width: int = 5, similarity: float = 0.8, copies: int = 3, longs: int = 8) -> DataFrame:
-    """Links a, b between different signatures (id, w, v): within tau bits in one of w, and similar by v.
-
-    Shingle sets of Jaccard similarity s have the cosine 2 s / (1 + s), so v differs
-    in arccos of that over pi of its bits; two standard deviations more are let
-    through. Texts that share a fingerprint, and those in a bucket much fuller than
-    chance, are compared with leaders (see `by_leaders`): a member that is like one
-    of them by v isn't compared with other members there.
+    `sets_of` gives id and elements for a table of ids. Only texts that meet another are asked for.
     """
-    bits = 64 * longs
-    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    most = math.floor(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
-    end = lambda i, v: texts.select(F.col("id").alias(i), F.col("v").alias(v))
-    alike = lambda pairs: pairs.join(end("a", "x"), "a").join(end("b", "y"), "b").where(apart(F.col("x"), F.col("y"), longs) <= most).select("a", "b")
-    by_copy = texts.select("id", F.posexplode("w").alias("copy", "fp"))
-    sizes = by_copy.groupBy("copy", "fp").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    shared = by_copy.join(sizes.where("n > 1").select("copy", "fp"), ["copy", "fp"]).select(F.col("copy").alias("part"), F.col("fp").alias("key"), "id", "fp")
-    links, leaders = by_leaders(materialize(shared, "shared"), alike, 0, 1)
-    # The leaders stand for the texts that share their fingerprint.
-    alone = sizes.where("n = 1").select("copy", "fp", "id")
-    of = materialize(reduce(DataFrame.unionByName, (x.select(F.col("part").alias("copy"), "fp", "id") for x in leaders), alone), "representatives")
-    all_probes, dense_from = [], {}
-    for copy in range(copies):
-        fps = of.where(F.col("copy") == copy).select("fp").distinct()
-        n, both = bit_statistics(fps)
-        if n < 2:
-            continue
-        parts = plan(n, both, tau)
-        all_probes.append(probes(fps, parts).withColumn("part", F.col("part") + 16 * copy))
-        dense_from |= {16 * copy + k: DENSE + FULLER * (n / 2.0 ** len(b)) ** 2 * ball(len(b), t) for k, (b, t) in enumerate(parts)}
-    links = reduce(DataFrame.unionByName, links, texts.sparkSession.createDataFrame([], "a long, b long"))
-    if not all_probes:
-        return links
-    met = reduce(DataFrame.unionByName, all_probes)
-    full = met.groupBy("part", "key").agg(F.sum(F.col("own").cast("long")).alias("n_own"), F.count("*").alias("n")).where("n_own >= 1 and n >= 2")
-    limit = F.coalesce(*(F.when(F.col("part") == k, x) for k, x in dense_from.items()))
-    met = materialize(met.join(full.select("part", "key", (F.col("n_own") * F.col("n") > limit).alias("dense")), ["part", "key"]), "meetings")
-    thin = met.where("not dense")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
-    side = lambda df, name: df.select("part", "key", F.col("fp").alias(name))
-    copy_of = F.floor(F.col("part") / 16).cast("int").alias("copy")
-    pairs = side(thin.where("own"), "a").join(side(thin, "b"), ["part", "key"]).where((F.col("a") != F.col("b")) & near)
-    pairs = pairs.select(copy_of, F.least("a", "b").alias("fa"), F.greatest("a", "b").alias("fb")).distinct()
-    rep = lambda fp, i: of.select("copy", F.col("fp").alias(fp), F.col("id").alias(i))
-    cross = pairs.join(rep("fa", "a"), ["copy", "fa"]).join(rep("fb", "b"), ["copy", "fb"]).select("a", "b").distinct()
-    dense = met.where("dense").select("part", "key", "fp", copy_of).join(of, ["copy", "fp"]).select("part", "key", "id", "fp")
-    led, _ = by_leaders(materialize(dense, "rest"), alike, tau, LEADERS)
-    return reduce(DataFrame.unionByName, led, links.unionByName(alike(cross)))
-
-
-def one_of_each(docs: DataFrame, tau: int = 6, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    met = text_buckets(texts, tau, copies)
+    sets = materialize(sets_of(met.select("id").distinct()), "shingles")
+
+    def meets(x: str, y: str) -> Column:
+        near = F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) <= tau
+        return near & (F.least(f"{x}n", f"{y}n") >= similarity * F.greatest(f"{x}n", f"{y}n") - 1e-9)
+
+    def split(ids: DataFrame) -> tuple:
+        return prefixes(sets.join(ids, "id", "left_semi"), similarity)
+
+    out = linked(met, lambda pairs: similar_sets(pairs, sets, similarity), meets, split, FULL)
+    discard(met, sets)
+    return out
+
+
+def one_of_each(docs: DataFrame, tau: int = 2, width: int = 5, similarity: float = 0.8, copies: int = 8) -> DataFrame:
     """docs without near copies: of each group of linked documents the least doc_id stays.
 
     Texts without words are copies of each other. A null doc_id counts as the
@@ -333,18 +313,24 @@ def one_of_each(docs: DataFrame, tau: int = 6, width: int = 5, similarity: float
     """
     last = F.lit((1 << 63) - 1)
     key = F.coalesce(F.col("doc_id").cast("long"), last)
-    sig = materialize(signatures(docs, width=width).select(F.coalesce("doc_id", last).alias("doc_id"), F.xxhash64("w", "v").alias("id"), "w", "v"), "signatures")
-    texts = materialize(sig.groupBy("id").agg(F.first("w").alias("w"), F.first("v").alias("v"), F.min("doc_id").alias("least")), "texts")
-    groups = connected_components(similar_texts(texts, tau, width, similarity))
+    sig = materialize(signatures(docs, copies, width).withColumn("doc_id", F.coalesce("doc_id", last)), "signatures")
+    texts = materialize(sig.groupBy("id").agg(F.min("n").alias("n"), F.min("w").alias("w"), F.min("doc_id").alias("least")), "texts")
+    at, stay, row = unused(docs, "at", "stay", "row")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = texts.join(ids, "id", "left_semi").select(F.col("least").alias(stay)).distinct()
+        found = shingle_sets(docs.join(wanted, key == F.col(stay), "left_semi"), width)
+        return found.join(ids, "id", "left_semi").groupBy("id").agg(F.min("elements").alias("elements"))
+
+    groups = similar_texts(texts, sets_of, tau, similarity, copies)
     of = texts.select("id", "least").join(groups, "id", "left").select(F.coalesce("component", "id").alias("component"), "least")
-    stay = of.groupBy("component").agg(F.min("least").alias("__stay")).select("__stay")
-    kept = docs.join(stay, key == F.col("__stay"), "left_semi")
-    twice = materialize(sig.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")), "repeated-ids")
+    kept = docs.join(of.groupBy("component").agg(F.min("least").alias(stay)).select(stay), key == F.col(stay), "left_semi")
+    twice = materialize(sig.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(stay)), "repeated-ids")
     if twice.isEmpty():
         return kept
-    single = kept.join(twice, key == F.col("__twice"), "left_anti")
-    several = kept.join(twice, key == F.col("__twice"), "left_semi").groupBy(key.alias("__key")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("__row"))
-    return single.unionByName(several.select("__row.*"))
+    single = kept.join(twice, key == F.col(stay), "left_anti")
+    several = kept.join(twice, key == F.col(stay), "left_semi").groupBy(key.alias(at)).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias(row))
+    return single.unionByName(several.select(f"{row}.*"))
 
 
 def components(fps: DataFrame, links: DataFrame) -> DataFrame:
