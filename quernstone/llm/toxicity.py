@@ -2,22 +2,28 @@
 
 Learning: for every word, in how many contexts it occurs in toxic and in other
 labelled texts (`max_rows` bounds the labelled texts used, the least by a hash of
-doc_id). Log-odds are those of Dirichlet posteriors: the prior of a word is the
-rate of the words that share its first `stem` letters, whose prior is that of all
-words. Words (and stems, for words not seen) whose log-odds less `z` standard errors are
-above `least` form the lexicon with their log-odds, at most `max_words` of each.
-All other words cost `drift`.
+doc_id; what is learned is bounded by their words). Log-odds are those of Dirichlet
+posteriors: the prior of a word is the rate of the words that share its first `stem`
+letters, whose prior is that of all words. Words (and stems, for words not seen)
+whose log-odds less `z` standard errors are above `least` are the toxic ones.
+
+A word scores its log-odds between two models: p, other texts, and q, a toxic
+passage, in which a share `tau` of the words is drawn from the toxic ones in
+proportion to their excess over p, and the rest as elsewhere. So with a word's
+posterior odds r and the summed excess M = sum p (r - 1) it scores
+ln(1 - tau + tau (r - 1) / M), and every word that isn't surely toxic ln(1 - tau):
+the sum falls between passages.
 
 Scoring: the linear-time search of all maximal scoring segments over the words of
 a text. The segments' scores follow an extreme-value law: E = K n exp(-lambda S)
-chance segments as good as S are expected among n words. lambda = 1, as scores
-are log-odds of two distributions; K comes from the best segments of texts that
-are not toxic. Significant segments (E under `max_e`) add up -ln E; a logistic fit
-maps sum and count to the score.
+chance segments as good as S are expected among n words. lambda solves
+sum p exp(lambda s) = 1 over the scores of the words of texts that are not toxic; K comes from the
+best segments of those texts. Significant segments (E under `max_e`) add up -ln E; a
+logistic fit maps sum and count to the score.
 
 Nulls and texts without words have no segments and get the score of none. Labels
 of null doc_ids, and null labels, teach nothing; repeated rows of a text count
-each, a doc_id labelled twice counts by each label. Without labels of both kinds
+each, a doc_id labelled twice counts by each label. Without labels of both kinds, or words of both,
 the score is the toxic share (0 without labels). Extra columns are ignored.
 """
 
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, solve_logistic, table, tokens
+from .common import fold, materialize, solve_logistic, table, tokens, unused
 
 EDGE = b".,;:!?\"'()[]{}|*#$%&<>-_~`"
 TEXTS = "doc_id long, text string"
@@ -78,7 +84,7 @@ def word_counts(train: DataFrame, stem: int) -> DataFrame:
         for batch in batches:
             for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
                 words = plain(text.as_py())
-                for w, after in zip(words, [*words[1:], b""], strict=True):
+                for w, after in zip(words, [*words[1:], b""], strict=False):  # no words: none
                     if w:
                         context = zlib.crc32(after)
                         seen.add((w.decode("utf-8", "replace"), False, context, y))
@@ -93,12 +99,34 @@ def word_counts(train: DataFrame, stem: int) -> DataFrame:
     return each.groupBy("word", "is_stem").agg(F.sum("t").cast("long").alias("toxic"), F.sum("o").cast("long").alias("other"))
 
 
+def maximal(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of a text whose words score `drift` but for the hits (place, score > 0): first word, end, score.
+
+    Each candidate keeps a link to the last one before it whose left sum is less,
+    so what was passed over once is never looked at again.
+    """
+    stack: list[tuple] = []  # first, end, sum before, sum with it, link
+    total, last = 0.0, 0
+    for i, s in hits:
+        total += drift * (i - last)
+        first, left, right, j = i, total, total + s, len(stack) - 1
+        total, last = right, i + 1
+        while j >= 0 and stack[j][2] >= left:
+            j = stack[j][4]
+        while j >= 0 and stack[j][3] < right:
+            first, _, left, _, link = stack[j]
+            del stack[j:]
+            j = link
+        stack.append((first, i + 1, left, right, j))
+    return [(a, b, r - l) for a, b, l, r, _ in stack]
+
+
 class Model:
-    """Lexicon and calibration; `segments` and `score` need nothing else."""
+    """Lexicon and calibration; `significant` and `score` need nothing else."""
 
     def __init__(self, words: dict[bytes, float], stems: dict[bytes, float], stem: int, drift: float) -> None:
         self.words, self.stems, self.stem, self.drift = words, stems, stem, drift
-        self.log_k, self.max_e, self.weights, self.share = 0.0, 0.05, None, 0.0
+        self.log_k, self.rate, self.max_e, self.weights, self.share = 0.0, 1.0, 0.05, None, 0.0
 
     def hits(self, words: list[bytes]) -> list[tuple[int, float]]:
         out, known, stems, size = [], self.words, self.stems, self.stem
@@ -115,62 +143,64 @@ class Model:
         return out
 
     def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments: first word, end, score. Stretches between hits are single costs."""
-        stack: list[list[float]] = []  # start, end, sum before, sum with it
-        total, last = 0.0, 0
-        for i, s in self.hits(words):
-            total += self.drift * (i - last)
-            new = [i, i + 1, total, total + s]
-            total, last = total + s, i + 1
-            while True:
-                j = len(stack) - 1
-                while j >= 0 and stack[j][2] >= new[2]:
-                    j -= 1
-                if j < 0 or stack[j][3] >= new[3]:
-                    stack.append(new)
-                    break
-                new = [stack[j][0], new[1], stack[j][2], new[3]]
-                del stack[j:]
-        return [(int(a), int(b), r - l) for a, b, l, r in stack]
+        return maximal(self.hits(words), self.drift)
 
     def significant(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """Segments with E under max_e: first word, end, -ln E."""
         room = self.log_k + math.log(max(1, len(words)))
-        found = ((a, b, s - room) for a, b, s in self.segments(words))
+        found = ((a, b, self.rate * s - room) for a, b, s in self.segments(words))
         return [x for x in found if x[2] > -math.log(self.max_e)]
 
-    def features(self, words: list[bytes]) -> tuple[float, float]:
-        found = [x[2] for x in self.significant(words)]
-        return (math.log1p(sum(found)), math.log1p(len(found))) if found else (0.0, 0.0)
-
-    def score(self, words: list[bytes]) -> float:
+    def score(self, passages: list[tuple[int, int, float]]) -> float:
+        """Of a text with these significant segments."""
         if self.weights is None:
             return self.share
-        x, y = self.features(words)
+        x, y = features(passages)
         z = self.weights[0] + self.weights[1] * x + self.weights[2] * y
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def lexicon(counts: DataFrame, stem: int, max_words: int, drift: float, prior: float = 2.0, z: float = 1.5, least: float = 0.7) -> Model:
-    """Posterior log-odds of the words and stems that are surely above `least`."""
+def features(passages: list[tuple[int, int, float]]) -> tuple[float, float]:
+    return math.log1p(sum(x[2] for x in passages)), math.log1p(len(passages))
+
+
+def lexicon(counts: DataFrame, stem: int, tau: float, prior: float = 2.0, z: float = 2.0, least: float = 0.7) -> Model | None:
+    """Scores of the words and stems whose posterior log-odds are surely above `least`; None without words of both kinds."""
     toxic, other = counts.where("is_stem").agg(F.sum("toxic"), F.sum("other")).first()
+    if not toxic or not other:
+        return None
     p = toxic / (toxic + other)
     base = F.lit(math.log(toxic / other))
     stems = counts.where("is_stem").select(F.col("word").alias("stem"), "toxic", "other")
 
     def judged(df: DataFrame, rate) -> DataFrame:
         a, b = F.col("toxic") + prior * rate, F.col("other") + prior * (1 - rate)
-        return df.withColumn("odds", F.log(a / b) - base).withColumn("score", F.col("odds") - z * F.sqrt(1 / a + 1 / b)).withColumn("share", a / (a + b))
+        return df.withColumn("odds", F.log(a / b) - base).withColumn("score", F.col("odds") - z * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).withColumn("share", a / (a + b)).withColumn("excess", b / other * (F.exp("odds") - 1))
 
     stems = judged(stems, F.lit(p))
     words = judged(counts.where("not is_stem").withColumn("stem", F.substring("word", 1, stem)).join(stems.select("stem", F.col("share").alias("rate")), "stem"), F.col("rate"))
-    top = lambda df, key: {r[0].encode(): float(r[1]) for r in df.orderBy(F.desc("score"), key).limit(max_words).select(key, "odds").collect()}
     sure = stems.where((F.col("score") > least) & (F.char_length("stem") >= stem))
-    known = top(words.where(F.col("score") > least), "word")
+    known = words.where(F.col("score") > least)
     # Words known to be harmless hide their stem.
     hidden = words.join(sure.select("stem"), "stem", "left_semi").where((F.col("odds") <= 0) & (F.col("other") >= 2))
-    known |= {k: 0.0 for k in top(hidden.withColumn("score", F.col("other")), "word")}
-    return Model(known, top(sure, "stem"), stem, drift)
+    # The words of at most max_rows texts.
+    found = {r[0].encode(): (r.odds, r.excess) for r in known.select("word", "odds", "excess").collect()}
+    total = sum(x for _, x in sorted(found.values())) or 1.0
+    of = lambda odds: math.log(1 - tau + tau * (math.exp(odds) - 1) / total)
+    scores = {w: round(of(odds), 6) for w, (odds, _) in found.items()}
+    scores |= {r[0].encode(): 0.0 for r in hidden.select("word").collect()}
+    return Model(scores, {r[0].encode(): round(of(r[1]), 6) for r in sure.select("stem", "odds").collect()}, stem, round(math.log(1 - tau), 6))
+
+
+def solve_rate(scores: list[tuple[float, float]], low: float = 0.05, high: float = 5.0) -> float:
+    """lambda > 0 with sum n exp(lambda s) = sum n over (score, n); 1 if no score is above zero. The bounds keep it finite where chance words score on average above zero, or never."""
+    total = sum(n for _, n in scores)
+    if not any(s > 0 and n for s, n in scores):
+        return 1.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * math.exp(mid * s) for s, n in scores) < total else (low, mid)
+    return (low + high) / 2
 
 
 def per_text(train: DataFrame, of, names: list[str]) -> DataFrame:
@@ -184,45 +214,62 @@ def per_text(train: DataFrame, of, names: list[str]) -> DataFrame:
     return train.select("text", "y").mapInArrow(run, ", ".join(["y int", *(f"{n} double" for n in names)]))
 
 
-def fit(train: DataFrame, stem: int = 5, max_words: int = 20000, drift: float = -0.5, max_e: float = 0.05) -> Model:
-    """train: text and y (1: toxic). It is read four times, so write it down first."""
+def word_scores(train: DataFrame, model: Model) -> list[tuple[float, int]]:
+    """How many words of the texts have each score (to one decimal); few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[float, int] = {}
+        for batch in batches:
+            for t in batch.column("text"):
+                words = plain(t.as_py())
+                hits = model.hits(words)
+                counts[model.drift] = counts.get(model.drift, 0) + len(words) - len(hits)
+                for _, s in hits:
+                    counts[round(s, 1)] = counts.get(round(s, 1), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.float64()), pa.array(list(counts.values()), pa.int64())], ["s", "n"])
+
+    return [(r.s, r.n) for r in train.select("text").mapInArrow(run, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").collect()]
+
+
+def fit(train: DataFrame, stem: int = 5, tau: float = 0.4, max_e: float = 0.05) -> Model:
+    """train: text and y (1: toxic). It is read five times, so write it down first."""
     n, toxic = train.agg(F.count("*"), F.sum("y")).first()
     toxic = toxic or 0
-    if toxic in (0, n):
-        model = Model({}, {}, stem, drift)
+    model = lexicon(materialize(word_counts(train, stem), "word-counts"), stem, tau) if 0 < toxic < n else None
+    if model is None:
+        model = Model({}, {}, stem, math.log(1 - tau))
         model.share = toxic / n if n else 0.0
         return model
-    model = lexicon(materialize(word_counts(train, stem), "word-counts"), stem, max_words, drift)
     model.max_e = max_e
+    calm = train.where("y = 0")
+    model.rate = solve_rate(word_scores(calm, model))
 
     def best(words: list[bytes]) -> tuple[float]:
-        return (max((s for _, _, s in model.segments(words)), default=0.0) - math.log(max(1, len(words))),)
+        return (model.rate * max((s for _, _, s in model.segments(words)), default=0.0) - math.log(max(1, len(words))),)
 
-    # Gumbel law with lambda = 1: the mean of S - ln n over chance texts is ln K + gamma.
-    mean = per_text(train.where("y = 0"), best, ["x"]).agg(F.avg("x")).first()[0]
+    # Gumbel law: the mean of lambda S - ln n over chance texts is ln K + gamma.
+    mean = per_text(calm, best, ["x"]).agg(F.avg("x")).first()[0]
     model.log_k = max(-8.0, (mean or 0.0) - 0.5772)
-    seen = per_text(train, model.features, ["a", "b"]).groupBy(F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "y").agg(F.count("*").alias("n")).collect()
+    seen = per_text(train, lambda words: features(model.significant(words)), ["a", "b"]).groupBy(F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "y").agg(F.count("*").alias("n")).collect()
     x = np.array([(1.0, r.a, r.b) for r in seen])
     model.weights = solve_logistic(x, np.array([r.y for r in seen], float), np.array([r.n for r in seen], float), 0.05).tolist()
     return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """docs with `score` and `passages` (first word, end and -ln E of each significant one)."""
+    """The columns `keep` of docs with `score` and `passages` (first word, end and -ln E of each significant one)."""
     keep = keep or ["doc_id"]
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"), "score double", "passages array<struct<first:int,end:int,weight:double>>"])
+    hidden = unused(docs, "text")[0] if "text" in keep else "text"
+    rows = docs.select(*keep, F.col("text").cast("string").alias(hidden))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != hidden), "score double", "passages array<struct<first:int,end:int,weight:double>>"])
     passage = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, found = [], []
-            for t in batch.column("__text"):
-                words = plain(t.as_py())
-                scores.append(model.score(words))
-                found.append([{"first": a, "end": b, "weight": w} for a, b, w in model.significant(words)] if model.weights else [])
-            kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array(found, passage)], [*keep, "score", "passages"])
+            found = [model.significant(plain(t.as_py())) for t in batch.column(hidden)]
+            scores = pa.array(map(model.score, found), pa.float64())
+            rows = pa.array([[{"first": a, "end": b, "weight": w} for a, b, w in x] for x in found], passage)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores, rows], [*keep, "score", "passages"])
 
     return rows.mapInArrow(run, schema)
 
@@ -236,7 +283,7 @@ def without_toxic(docs: DataFrame, model: Model, least: float = 0.7) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(plain(t.as_py())) < least for t in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([model.score(model.significant(plain(t.as_py()))) < least for t in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
