@@ -261,13 +261,11 @@ def fit(train: DataFrame, v: Vocabulary, dim: int = 1 << 18, rounds: int = 8, l2
         held = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            got = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-            if got is None or got.num_rows == 0:
-                return
-            key, n = got.column("key").to_numpy(), got.column("n").to_numpy().astype(float)
-            order = np.argsort(key, kind="stable")
-            contexts, symbols = np.divmod(key[order], size)
-            g, h = held.value.gradient(contexts, symbols, n[order])
+            g, h = np.zeros(2 * dim), np.zeros(2 * dim)
+            for key, n in blocks(batches):
+                contexts, symbols = np.divmod(key, size)
+                dg, dh = held.value.gradient(contexts, symbols, n.astype(float))
+                g, h = g + dg, h + dh
             i = np.flatnonzero(h)
             yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(g[i]), pa.array(h[i])], ["i", "g", "h"])
 
@@ -282,6 +280,25 @@ def fit(train: DataFrame, v: Vocabulary, dim: int = 1 << 18, rounds: int = 8, l2
     return model
 
 
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """key and n of so many rows at a time, in order of keys. Gradients add up, so a context may be split between blocks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield in_order(held)
+            held = []
+    if any(b.num_rows for b in held):
+        yield in_order(held)
+
+
+def in_order(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    got = pa.Table.from_batches(held)
+    key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(key, kind="stable")
+    return key[order], n[order]
+
+
 def first_part(docs: DataFrame, model: Model) -> DataFrame:
     """row, doc_id, n_tokens, sums over known words, and the other words with their counts."""
     held = docs.sparkSession.sparkContext.broadcast(model)

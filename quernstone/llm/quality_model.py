@@ -5,9 +5,10 @@ words, shapes (case and outer punctuation) of words, and a mark for words whose
 4-word run occurred before in the text. Each hashes to one of `buckets` weights;
 values are damped counts scaled to length one, so long texts don't weigh more.
 
-Learning: at most `max_rows` labelled rows (the least by a hash of doc_id) dealt
-to `shards` learners, each a follow-the-regularised-leader pass in the order of
-that hash; the shards' weights are averaged and the next round starts from them.
+Learning: at most `max_rows` labelled rows (the least by a hash of doc_id) become
+features where they are read, then are dealt to `shards` learners, each a follow-the-regularised-leader pass in the order of
+that hash; the shards' sums z and squared gradients n are averaged and the next round
+goes on from them, so the adaptive rates are kept.
 The result does not depend on which machine learns which shard.
 
 Nulls and texts without words have only the constant's feature. Null labels and
@@ -25,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, hashes, materialize, remix, rolled, table
+from .common import fold, hashes, materialize, remix, rolled, table, unused
 from .toxicity import training_rows
 
 
-
 def shape(w: bytes) -> int:
     """Case, outer punctuation and whether there is a digit, as a small number."""
     first, last = w[0], w[-1]
@@ -67,76 +67,89 @@ def features(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(value)
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], start: np.ndarray, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
-    """One pass of FTRL-proximal from the weights `start`; returns the weights after it."""
-    n = np.zeros(len(start))
-    z = -start * (beta / alpha + l2)  # the leader at the start is `start`
+class Rates:
+    """FTRL-proximal's parameters."""
+
+    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-3, l2: float = 0.1) -> None:
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
-    def at(i: np.ndarray) -> np.ndarray:
-        zi = z[i]
-        w = -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2)
-        return np.where(np.abs(zi) <= l1, 0.0, w)
+    def weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
+        return np.where(np.abs(z) <= self.l1, 0.0, w)
 
+
+def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], z: np.ndarray, n: np.ndarray, rates: Rates) -> tuple[np.ndarray, np.ndarray]:
+    """One pass from the state z, n; returns the state after it."""
+    z, n = z.copy(), n.copy()
     for i, x, y in examples:
-        w = at(i)
+        w = rates.weights(z[i], n[i])
         p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w @ x)))))
         g = (p - y) * x
-        sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
+        sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / rates.alpha
         z[i] += g - sigma * w
         n[i] += g * g
-    return at(np.arange(len(start)))
+    return z, n
 
 
-def fit(train: DataFrame, buckets: int = 1 << 18, shards: int = 4, rounds: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-3, l2: float = 0.1) -> np.ndarray:
-    """Weights. train: doc_id, text, y; bounded by its maker."""
-    dealt = train.withColumn("at", F.xxhash64("doc_id", F.lit("order"))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)))
-    w = np.zeros(buckets)
-    spark = train.sparkSession
+def featured(train: DataFrame, buckets: int) -> DataFrame:
+    """at, doc_id, y, index, value of each training row."""
 
-    for _ in range(rounds):
-        held = spark.sparkContext.broadcast(w)
-
-        def learn(key: tuple, batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            rows = []
-            for b in batches:
-                for a, d, t, y in zip(b.column("at").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("y").to_pylist(), strict=True):
-                    i, x = features(t.as_py(), buckets)
-                    rows.append((a, d, y, i.astype(np.int32), x.astype(np.float32)))
-            rows.sort(key=lambda r: r[:3])
-            got = ftrl([(i, x.astype(float), y) for _, _, y, i, x in rows], held.value, alpha, beta, l1, l2)
-            used = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(got[used])], ["i", "w"])
-
-        got = grouped(dealt.select("shard", "at", "doc_id", "text", "y"), learn)
-        mean = got.groupBy("i").agg((F.sum("w") / shards).alias("w"))
-        w = np.zeros(buckets)
-        for r in mean.toLocalIterator():
-            w[r.i] = r.w
-        held.unpersist()
-    return w
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [features(t.as_py(), buckets) for t in batch.column("text")]
+            lists = [pa.array([i.astype(np.int32) for i, _ in got], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in got], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("at", "doc_id", "y")), *lists], ["at", "doc_id", "y", "index", "value"])
 
+    rows = train.select(F.xxhash64("doc_id", F.lit("order")).alias("at"), "doc_id", "y", "text")
+    return rows.mapInArrow(run, "at long, doc_id long, y int, index array<int>, value array<float>")
 
-def grouped(dealt: DataFrame, learn) -> DataFrame:
-    """Runs `learn` on the Arrow batches of each shard."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(learn(key, iter(rows.to_batches()))))
+def learner(held, rates: Rates):
+    """One shard's pass from the broadcast state."""
 
-    return dealt.groupBy("shard").applyInArrow(run, "i int, w double")
+    def learn(key: tuple, rows: pa.Table) -> pa.Table:
+        names = ("at", "doc_id", "y")
+        order = sorted(range(rows.num_rows), key=lambda r: tuple(rows.column(c)[r].as_py() for c in names))
+        vector = lambda c, r: rows.column(c)[r].values.to_numpy()
+        examples = [(vector("index", r), vector("value", r).astype(float), rows.column("y")[r].as_py()) for r in order]
+        z, n = ftrl(examples, *held.value, rates)
+        i = np.flatnonzero(n)
+        return pa.table({"i": i.astype(np.int32), "z": z[i], "n": n[i]})
+
+    return learn
+
+
+def fit(train: DataFrame, buckets: int = 1 << 18, shards: int = 4, rounds: int = 3, rates: Rates | None = None) -> np.ndarray:
+    """Weights. train: doc_id, text, y; bounded by its maker."""
+    rates = rates or Rates()
+    shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).alias("shard")
+    dealt = materialize(featured(train, buckets).select(shard, "*"), "quality-features")
+    z, n = np.zeros(buckets), np.zeros(buckets)
+    for _ in range(rounds):
+        held = train.sparkSession.sparkContext.broadcast((z, n))
+
+        got = dealt.groupBy("shard").applyInArrow(learner(held, rates), "i int, z double, n double")
+        mean = got.groupBy("i").agg((F.sum("z") / F.count("*")).alias("z"), (F.sum("n") / F.count("*")).alias("n")).toArrow()  # at most `buckets` rows
+        z, n = np.zeros(buckets), np.zeros(buckets)
+        i = mean.column("i").to_numpy()
+        z[i], n[i] = np.round(mean.column("z").to_numpy(), 9), np.round(mean.column("n").to_numpy(), 9)
+        held.unpersist()
+    return rates.weights(z, n)
 
 
 def score(docs: DataFrame, w: np.ndarray, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` with `score`."""
     keep = keep or ["doc_id"]
+    hidden = unused(docs, "text")[0] if "text" in keep else "text"
     held = docs.sparkSession.sparkContext.broadcast(w.astype(np.float32))
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"), "score double"])
+    rows = docs.select(*keep, F.col("text").cast("string").alias(hidden))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != hidden), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
         for batch in batches:
             z = np.empty(batch.num_rows)
-            for k, t in enumerate(batch.column("__text")):
+            for k, t in enumerate(batch.column(hidden)):
                 i, x = features(t.as_py(), len(w))
                 z[k] = w[i] @ x
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*keep, "score"])

@@ -2,12 +2,14 @@
 
 DataFrame functions only. Statistics come from arrays within the row. Their
 transformed vectors are judged per language and source by the minimum covariance
-determinant: from the medians' scale, concentration steps keep the `h` share of
-rows with the least Mahalanobis distance and estimate location and scatter from
-them. Every step is one aggregation of sums by group (partial sums first, so a
+determinant: from two starts (the quartiles' scales, and the covariance of signs),
+concentration steps keep the `h` share of rows with the least Mahalanobis
+distance and estimate location and scatter from them, until locations settle;
+the start that ends with the lesser determinant counts. Every step is one aggregation of sums by group (partial sums first, so a
 hot group is no burden) and one histogram of distances for the h-quantile.
-Groups under `min_rows` rows use their language, small languages all rows.
-Scatter is rescaled to be consistent at the normal law and a document is rejected
+Scatter is rescaled to be consistent at the normal law. A source's estimate is drawn
+towards that of its language, and that towards all rows', as if the larger had
+given it `prior_rows` rows; so groups of any size go the same way. A document is rejected
 beyond the chi-squared quantile `p`.
 
 Nulls: a null text has no words; null languages and sources are values of their
@@ -20,10 +22,10 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, chi2_cdf, chi2_quantile, materialize, table
+from .common import SPACE, chi2_cdf, chi2_quantile, discard, if_small, materialize, table
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -118,63 +120,106 @@ def distance() -> Column:
     return total
 
 
+M = [f"m{i}" for i in range(DIM)]
+S = [f"s{j}{i}" for i, j in PAIRS]
+W = [f"w{i}{j}" for i in range(DIM) for j in range(i + 1)]
+
+
 def moments(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Means m and scatter s of x by group, with the number of rows."""
+    """Means m and scatter s of x by group, with the number of rows; rounded, as sums come in any order."""
     sums = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         *(F.avg(f"x{i}").alias(f"m{i}") for i in range(DIM)),
         *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{j}{i}") for i, j in PAIRS),
     )
-    return sums.select(*by, "n", *(f"m{i}" for i in range(DIM)), *((F.col(f"p{j}{i}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"s{j}{i}") for i, j in PAIRS))
-
-
-def fit(rows: DataFrame, by: list[str], h: float = 0.75, steps: int = 4) -> DataFrame:
-    """Location m and inverse factor w by group. rows: columns `by` (not null) and x."""
+    return sums.select(*by, "n", *(F.round(m, 9).alias(m) for m in M), *(F.round(F.col(f"p{j}{i}") - F.col(f"m{i}") * F.col(f"m{j}"), 9).alias(f"s{j}{i}") for i, j in PAIRS))
+
+
+def quartiles(rows: DataFrame) -> DataFrame:
+    """g, m (medians) and d (the quartiles' scale), from histograms of values to two decimals, so partitions don't matter."""
+    each = rows.select("g", F.posexplode(F.array(*(F.round(f"x{i}", 2) for i in range(DIM)))).alias("dim", "x")).groupBy("g", "dim", "x").agg(F.count("*").alias("n"))
+    order, every = Window.partitionBy("g", "dim").orderBy("x"), Window.partitionBy("g", "dim")
+    upto = each.withColumn("upto", F.sum("n").over(order) / F.sum("n").over(every))
+    at = lambda q: F.min(F.when(F.col("upto") >= q, F.col("x")))
+    q = upto.groupBy("g", "dim").agg(at(0.25).alias("low"), at(0.5).alias("m"), at(0.75).alias("high"))
+    pick = lambda i, c: F.max(F.when(F.col("dim") == i, c))
+    return q.groupBy("g").agg(*(pick(i, F.col("m")).alias(f"m{i}") for i in range(DIM)), *(pick(i, (F.col("high") - F.col("low")) / 1.349).alias(f"d{i}") for i in range(DIM)))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """g, start, m, s: the quartiles' scales alone, and with the correlations of the standardized rows' directions."""
+    middle = materialize(quartiles(rows), "quartiles")
+    diagonal = middle.select("g", F.lit(0).alias("start"), *M, *((F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"s{j}{i}") for i, j in PAIRS))
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.greatest(F.col(f"d{i}"), F.lit(FLOOR[i])) for i in range(DIM)]
+    length = sum((v * v for v in z), F.lit(1e-9))
+    turned = rows.join(if_small(middle), "g").groupBy("g").agg(*(F.avg(z[i] * z[j] / length).alias(f"c{j}{i}") for i, j in PAIRS))
+    back = lambda i, j: F.round(DIM * F.col(f"c{j}{i}") * F.greatest(F.col(f"d{i}"), F.lit(FLOOR[i])) * F.greatest(F.col(f"d{j}"), F.lit(FLOOR[j])), 9)
+    signs = middle.join(turned, "g").select("g", F.lit(1).alias("start"), *M, *(back(i, j).alias(f"s{j}{i}") for i, j in PAIRS))
+    return diagonal.unionByName(signs)
+
+
+def fit(rows: DataFrame, h: float = 0.75) -> DataFrame:
+    """Location m and scatter s by g. rows: g (not null) and x, written down.
+
+    A step is taken by the groups and starts whose determinant falls by it; there
+    are finitely many sets of kept rows, so steps come to an end.
+    """
     correction = h / chi2_cdf(chi2_quantile(h, DIM), DIM + 2)
-    middle = rows.groupBy(*by).agg(*(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(DIM)))
-    at = middle.select(
-        *by,
-        *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIM)),
-        *((F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"s{j}{i}") for i, j in PAIRS),
-    )
-    at = materialize(at.withColumns(inverse_cholesky(1.0)), "start")
-    for _ in range(steps):
-        near = rows.join(at.drop(*(f"s{j}{i}" for i, j in PAIRS)), by).withColumn("bin", F.floor(F.log2(distance() + 1e-6) * BIN))
-        counts = near.groupBy(*by, "bin").agg(F.count("*").alias("n"))
-        cut = quantile_bin(counts, by, h)
-        kept = near.join(cut, by).where(F.col("bin") <= F.col("cut"))
-        at = materialize(moments(kept, by).withColumns(inverse_cholesky(correction)), "step")
-    return at
+    by, fields = ["g", "start"], [*M, *S, *W, "d"]
+    determinant = F.round(-sum((F.log(F.col(f"w{i}{i}")) for i in range(DIM)), F.lit(0.0)), 6)
+    # Of the starts any step is better.
+    at = materialize(starts(rows).withColumns(inverse_cholesky(1.0)).withColumn("d", F.lit(float("inf"))), "start")
+    while True:
+        near = rows.join(if_small(at.select(*by, *M, *W)), "g").withColumn("bin", F.floor(F.log2(distance() + 1e-6) * BIN))
+        cut = materialize(quantile_bin(near.groupBy(*by, "bin").agg(F.count("*").alias("n")), by, h), "cut")
+        kept = near.join(if_small(cut), by).where(F.col("bin") <= F.col("cut")).select(*by, *(f"x{i}" for i in range(DIM)))
+        new = moments(kept, by).withColumns(inverse_cholesky(correction)).withColumn("d", determinant)
+        both = at.select(*by, F.struct(*fields).alias("old")).join(new.select(*by, F.struct(*fields).alias("new")), by)
+        better = F.col("new.d") < F.col("old.d")
+        now = materialize(both.select(*by, better.alias("better"), F.when(better, F.col("new")).otherwise(F.col("old")).alias("b")).select(*by, "better", "b.*"), "step")
+        discard(at, cut)
+        at = now
+        if not now.agg(F.max("better")).first()[0]:
+            break
+    best = at.groupBy("g").agg(F.min(F.struct("d", "start", *M, *S)).alias("b"))
+    return best.select("g", *(F.col(f"b.{m}").alias(m) for m in M), *((F.col(f"b.{x}") * correction).alias(x) for x in S))
 
 
 def quantile_bin(counts: DataFrame, by: list[str], h: float) -> DataFrame:
     """Least bin that holds the share h of its group's rows with those below."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(*by).orderBy("bin")
     every = Window.partitionBy(*by)
     upto = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(every))
     return upto.where(F.col("upto") >= F.col("all") * h).groupBy(*by).agg(F.min("bin").alias("cut"))
 
 
-def judge(docs: DataFrame, p: float = 0.9999999, min_rows: int = 200, h: float = 0.75) -> DataFrame:
+def drawn(child: DataFrame, prior_rows: float) -> DataFrame:
+    """Columns m and s of rows with n, m, s and their parent's pm and ps: the estimate of n rows with `prior_rows` of the parent's."""
+    a = F.col("n") / (F.col("n") + prior_rows)
+    gap = lambda i: F.col(f"m{i}") - F.col(f"pm{i}")
+    m = {f"m{i}": a * F.col(f"m{i}") + (1 - a) * F.col(f"pm{i}") for i in range(DIM)}
+    s = {f"s{j}{i}": a * F.col(f"s{j}{i}") + (1 - a) * F.col(f"ps{j}{i}") + a * (1 - a) * gap(i) * gap(j) for i, j in PAIRS}
+    return child.withColumns(m | s).drop("n", *(f"p{x}" for x in M + S))
+
+
+def judge(docs: DataFrame, p: float = 0.9999999, prior_rows: float = 200, h: float = 0.75) -> DataFrame:
     """The statistics with `distance` (squared) and `kept`, beside doc_id."""
-    keys = {"lang": F.coalesce(F.col("lang").cast("string"), F.lit("\0")), "source": F.coalesce(F.col("source").cast("string"), F.lit("\0"))}
-    stats = materialize(statistics(docs.withColumns(keys), ["doc_id", "lang", "source"]), "statistics")
+    # As JSON a null differs from any text, and from a value that isn't there.
+    levels = [F.to_json(F.struct(F.lit(2).alias("level"), "lang", "source")), F.to_json(F.struct(F.lit(1).alias("level"), "lang")), F.lit("{}")]
+    named = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    stats = statistics(named.withColumns({f"g{k}": g for k, g in enumerate(levels)}), ["doc_id", "g0", "g1", "g2"])
+    stats = materialize(stats, "statistics")
     rows = stats.where(~F.col("base_failed")).withColumns(vector())
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    groups = sizes.join(by_lang, "lang")
-    group = F.when(F.col("n") >= min_rows, F.struct("lang", "source")).when(F.col("n_lang") >= min_rows, F.struct("lang", F.lit("\1").alias("source"))).otherwise(F.struct(F.lit("\1").alias("lang"), F.lit("\1").alias("source")))
-    groups = materialize(groups.select("lang", "source", group.alias("g")).select("lang", "source", F.col("g.lang").alias("g_lang"), F.col("g.source").alias("g_source")), "groups")
-    by = ["g_lang", "g_source"]
-    # Small sources learn from all rows of their language, small languages from all rows.
-    wanted = groups.select(*by).distinct()
-    own = rows.withColumn("g", F.explode(F.array(F.struct("lang", "source"), F.struct("lang", F.lit("\1").alias("source")), F.struct(F.lit("\1").alias("lang"), F.lit("\1").alias("source")))))
-    own = own.select(*(f"x{i}" for i in range(DIM)), F.col("g.lang").alias("g_lang"), F.col("g.source").alias("g_source"))
-    model = fit(materialize(own.join(wanted, by, "left_semi"), "vectors"), by, h)
-    params = groups.join(model.select(*by, *(f"m{i}" for i in range(DIM)), *(f"w{i}{j}" for i in range(DIM) for j in range(i + 1))), by).drop(*by)
-    judged = stats.join(params, ["lang", "source"], "left").withColumns(vector_safe()).withColumn("distance", F.when(~F.col("base_failed"), F.round(distance(), 6)))
+    vectors = materialize(rows.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *(f"x{i}" for i in range(DIM))), "vectors")
+    model = materialize(fit(vectors, h), "model")
+    groups = rows.groupBy("g0", "g1", "g2").agg(F.count("*").alias("n"))
+    langs = groups.groupBy("g1", "g2").agg(F.sum("n").alias("n"))
+    own = lambda df, g: df.join(model.withColumnRenamed("g", g), g)
+    parent = lambda df, g: df.select(F.col(g), *(F.col(x).alias(f"p{x}") for x in M + S))
+    by_lang = drawn(own(langs, "g1").join(parent(model.withColumnRenamed("g", "g2"), "g2"), "g2"), prior_rows)
+    by_source = drawn(own(groups, "g0").join(parent(by_lang, "g1"), "g1"), prior_rows)
+    params = materialize(by_source.select("g0", *M, *S).withColumns(inverse_cholesky(1.0)).select("g0", *M, *W), "parameters")
+    judged = stats.join(if_small(params), "g0", "left").withColumns(vector_safe()).withColumn("distance", F.when(~F.col("base_failed"), F.round(distance(), 6)))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(p, DIM))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 

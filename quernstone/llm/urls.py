@@ -5,7 +5,8 @@ url's path starts with the rule's; the longest rule wins, equal ones by order.
 Urls that a rule decides are the labelled ones. They train trees on binned
 lexical features: one aggregation by distinct bins, then for each level of each
 tree one histogram of gradients (nodes x features x bins, so bounded), from which
-the driver picks splits. Other urls are judged by the trees: block at a chance
+the driver picks splits. The rates of blocked urls by suffix and by first path element
+leave out the fold of the url at hand where it is a labelled one. Other urls are judged by the trees: block at a chance
 of one half or more. Without labelled urls, or with one class only, all others
 get that class or, without any, allow.
 
@@ -22,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import if_small, materialize, table
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -93,9 +94,17 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
+#: Labelled urls are dealt to so many folds.
+FOLDS = 5
+
+
 def rates(labelled: DataFrame, by: str, smooth: float = 20.0) -> DataFrame:
-    """Share of blocked urls by value, drawn towards one half."""
-    return labelled.groupBy(by).agg(((F.sum("y") + smooth / 2) / (F.count("*") + smooth)).alias(f"{by}_rate"))
+    """Share of blocked urls by value and fold, drawn towards one half: of the other folds, and of all for fold -1."""
+    sums = labelled.groupBy(by, "fold").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    whole = sums.groupBy(by).agg(F.sum("y").alias("all_y"), F.sum("n").alias("all_n"))
+    of = lambda y, n: ((y + smooth / 2) / (n + smooth)).alias(f"{by}_rate")
+    each = sums.join(whole, by).select(by, "fold", of(F.col("all_y") - F.col("y"), F.col("all_n") - F.col("n")))
+    return each.unionByName(whole.select(by, F.lit(-1).cast("int").alias("fold"), of(F.col("all_y"), F.col("all_n"))))
 
 
 def bins(features: list[str]) -> Column:
@@ -133,7 +142,7 @@ class Trees:
         return sum((self.value(t) for t in self.trees), F.lit(self.start))
 
 
-def boost(rows: DataFrame, n_trees: int = 8, depth: int = 3, rate: float = 0.5, l2: float = 1.0) -> Trees:
+def boost(rows: DataFrame, n_trees: int = 16, depth: int = 3, rate: float = 0.3, l2: float = 1.0) -> Trees:
     """Newton boosting of the logistic loss. rows: bin (array), n, y (sums over equal bins)."""
     n, y = rows.agg(F.sum("n"), F.sum("y")).first()
     if not n:
@@ -173,12 +182,13 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     """page_id, host, path, rule, verdict and block_score (the trees' chance, for every url)."""
     host, path = split_url(F.col("url"))
     known = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    known = lexical(known.withColumn("rule", match(rules, 1)).withColumn("by_rule", match(rules, 0)))
-    known = materialize(known, "urls")
+    known = known.withColumn("rule", match(rules, 1)).withColumn("by_rule", match(rules, 0))
+    fold = F.when(F.col("by_rule").isNotNull(), F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).cast("int")).otherwise(-1)
+    known = materialize(lexical(known).withColumn("fold", fold), "urls")
     labelled = known.where("by_rule is not null").withColumn("y", (F.col("by_rule") == "block").cast("long"))
     rated = known
     for by in ("suffix", "section"):
-        rated = rated.join(materialize(rates(labelled, by), by), by, "left").withColumn(f"{by}_rate", F.coalesce(f"{by}_rate", F.lit(0.5)))
+        rated = rated.join(if_small(materialize(rates(labelled, by), by)), [by, "fold"], "left").withColumn(f"{by}_rate", F.coalesce(f"{by}_rate", F.lit(0.5)))
     rated = rated.select("page_id", "host", "path", "rule", "by_rule", bins(list(EDGES)).alias("bin"))
     blocked = (F.col("by_rule") == "block").cast("long")
     train = rated.where("by_rule is not null").groupBy("bin").agg(F.count("*").alias("n"), F.sum(blocked).alias("y"))

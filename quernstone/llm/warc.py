@@ -16,7 +16,7 @@ put together again from the pieces between the ends of its record.
 
 Nulls: a null html is an empty payload, a null url an empty target; a null
 page_id is written as an empty id, which never counts as the largest, and read
-back as null. Rows that repeat a page_id are records of their own; of equal
+back as null. A gzip file is one member, as Spark's writer makes it. Rows that repeat a page_id are records of their own; of equal
 payloads with the same largest id one is the response. Empty tables give empty
 results; extra columns are ignored.
 """
@@ -26,28 +26,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, table
+from .common import if_small, materialize, new_path, table
 
 MAGIC = "WARC/1."
 GAP = "\r\n\r\n"
 
 
-def with_revisits(records: DataFrame, min_bytes: int = 1000) -> DataFrame:
+#: Shares that the rows of a digest with more than HOT copies are dealt to, where payloads must be shuffled.
+SHARES, HOT = 64, 1000
+
+
+def with_revisits(records: DataFrame, min_bytes: int = 1000, broadcast_digests: int = 200_000) -> DataFrame:
     """Adds payload_digest, payload_bytes, record_type and refers_to to id, uri, payload (binary).
 
     Of equal payloads, the row with the largest id is the response; should several
-    rows have that id, the one with the least row number is.
+    rows have that id, the one with the least row number is. Only digests that
+    occur again are joined: by a broadcast if they are few, else payloads are dealt by
+    digest, those of hot digests by digest and share; so no payload goes to one task
+    with all its copies, and small payloads stay where they are.
     """
     known = records.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    known = known.withColumn("row", F.monotonically_increasing_id())
     large = known.where(F.col("payload_bytes") >= min_bytes)
-    rank = F.struct(F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("id"), (-F.col("row")).alias("row"))
-    last = large.groupBy("payload_digest").agg(F.max(rank).alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = known.join(last, "payload_digest", "left")
-    revisits = (F.col("payload_bytes") >= min_bytes) & F.col("last").isNotNull() & (F.col("last.row") != -F.col("row"))
-    revisits = F.coalesce(revisits, F.lit(False))
-    refers = F.when(revisits, F.when(F.col("last.id") != -(1 << 63), F.col("last.id")))
-    return out.withColumn("record_type", F.when(revisits, "revisit").otherwise("response")).withColumn("refers_to", refers).drop("last", "row")
+    ids = large.select("payload_digest", F.coalesce("id", F.lit(-(1 << 63))).alias("id"))
+    last = ids.groupBy("payload_digest").agg(F.max("id").alias("last_id"), F.count("*").alias("n")).where("n > 1")
+    last = materialize(last, "repeated-digests")
+    tied = ids.join(if_small(last, broadcast_digests), "payload_digest").where("id = last_id").groupBy("payload_digest").agg(F.count("*").alias("t")).where("t > 1")
+    row = F.lit(None).cast("long")
+    if not tied.isEmpty():
+        # Row numbers tell equal ids apart; written down, as a rerun may number otherwise.
+        known = materialize(known.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        large, row = known.where(F.col("payload_bytes") >= min_bytes), F.col("row")
+        mine = large.select("payload_digest", F.coalesce("id", F.lit(-(1 << 63))).alias("last_id"), "row").join(if_small(last, broadcast_digests), ["payload_digest", "last_id"])
+        last = materialize(last.join(mine.groupBy("payload_digest").agg(F.min("row").alias("last_row")), "payload_digest"), "repeated-digests")
+    else:
+        last = last.withColumn("last_row", F.lit(None).cast("long"))
+    known = known.withColumn("row", row) if "row" not in known.columns else known
+    n = last.count()
+    if n <= broadcast_digests:
+        out = known.join(F.broadcast(last.drop("n")), (known["payload_digest"] == last["payload_digest"]) & (F.col("payload_bytes") >= min_bytes), "left").drop(last["payload_digest"])
+    else:
+        hot = last.where(F.col("n") > HOT).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        sides = hot.unionByName(last.where(F.col("n") <= HOT).withColumn("share", F.lit(-1))).drop("n")
+        # At most 1 / HOT of all rows are hot digests; the dealing of a row must know them.
+        marked = known.where(F.col("payload_bytes") >= min_bytes).join(if_small(last.where(F.col("n") > HOT).select("payload_digest", F.lit(True).alias("hot"))), "payload_digest", "left")
+        dealt = marked.withColumn("share", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "uri"), F.lit(SHARES)).cast("int")).otherwise(-1)).drop("hot")
+        joined = dealt.join(sides, ["payload_digest", "share"], "left").drop("share")
+        small = known.where(~(F.col("payload_bytes") >= min_bytes) | F.col("payload_bytes").isNull())
+        out = joined.unionByName(small.withColumns({"last_id": F.lit(None).cast("long"), "last_row": F.lit(None).cast("long")}))
+    response = F.col("last_id").isNull() | ((F.coalesce("id", F.lit(-(1 << 63))) == F.col("last_id")) & (F.col("last_row").isNull() | (F.col("row") == F.col("last_row"))))
+    refers = F.when(~response, F.when(F.col("last_id") != -(1 << 63), F.col("last_id")))
+    return out.withColumn("record_type", F.when(response, "response").otherwise("revisit")).withColumn("refers_to", refers).drop("last_id", "last_row", "row")
 
 
 def record_text(date: str) -> Column:
@@ -220,8 +248,12 @@ def round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 1000)
         F.when(revisit, id_of("refers")).alias("refers_to"),
         (revisit | (stated == F.col("digest"))).alias("verified"),
     )
-    held = out.where("record_type = 'response'").select("payload_digest", F.lit(True).alias("held")).distinct()
-    return out.join(held, "payload_digest", "left").withColumn("verified", F.col("verified") & F.coalesce("held", F.lit(False))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    # A revisit is verified by a response of its digest; only digests that have revisits are joined.
+    asked = out.where("record_type = 'revisit'").select("payload_digest").distinct()
+    held = materialize(asked.join(out.where("record_type = 'response'").select("payload_digest"), "payload_digest", "left_semi").select("payload_digest", F.lit(True).alias("held")), "held")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    told = out.join(if_small(held), "payload_digest", "left")
+    return told.select(*names, (F.col("verified") & ((F.col("record_type") == "response") | F.coalesce("held", F.lit(False)))).alias("verified"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
