@@ -4,7 +4,9 @@ Tokens are lower-cased words and one end for each text. Their counts cover all
 training texts. The model predicts symbols: the frequent words (at most
 `vocabulary`: those with 1 / `vocabulary` of all tokens or more), the end, and 64
 spelling classes (by last two bytes) of all other words, in which a word has its
-add-one share. A softmax over classes of symbols is followed by one over the
+add-one share. `vocabulary` grows with the cube root of the training tokens and the
+number of weights with it, so a larger corpus has more words with n-grams of
+their own, while what is broadcast stays far smaller than the corpus. A softmax over classes of symbols is followed by one over the
 symbols of the class. Logits are the logarithms of the unigram shares plus hashed
 weights of three features: the word before, the class of the word two before (a
 skip), and both.
@@ -12,7 +14,8 @@ skip), and both.
 Learning counts (context, symbol) over all training texts, once. Each round then
 sums the gradient and curvature of every weight over that table, which is dealt
 by context, and moves all weights by a damped diagonal Newton step. The table and
-the weights are bounded by the vocabulary, so rounds cost the same at any size.
+the weights are bounded by the vocabulary: at 10^13 tokens 430,000 words and 2^26
+weights, half a GB, for which the driver needs a few GB.
 
 Scoring: batches look up the distinct (context, symbol) of their texts. Words with
 1 / `known` of all tokens or more are broadcast (at most `known`: a proven
@@ -40,6 +43,18 @@ SPELLINGS = 64
 END = -SPELLINGS  # no word has this key but by a hash of zeros
 #: Tokens that are looked up together.
 CHUNK = 400_000
+#: Rows of counts in one batch to the JVM.
+BATCH = 1 << 17
+
+
+def vocabulary_for(tokens: int, least: int = 4096, rate: float = 20.0) -> int:
+    """`rate` times the cube root of the training tokens, at least `least`."""
+    return max(least, math.ceil(rate * tokens ** (1 / 3)))
+
+
+def weights_for(vocabulary: int) -> int:
+    """Weights of a layer: the power of two nearest to 64 a word, by its logarithm."""
+    return 1 << round(math.log2(64 * vocabulary))
 
 
 def word_keys(text: str | None) -> np.ndarray:
@@ -79,15 +94,16 @@ def counted(texts: DataFrame, of) -> DataFrame:
                     keys, n = summed(np.concatenate([keys, got[0]]), np.concatenate([n, got[1]]))
                     chunk, size = [], 0
                     if len(keys) > 2_000_000:
-                        yield block(keys, n)
+                        yield from parts(keys, n)
                         keys, n = keys[:0], n[:0]
         if chunk:
             got = np.unique(of(chunk), return_counts=True)
             keys, n = summed(np.concatenate([keys, got[0]]), np.concatenate([n, got[1]]))
-        yield block(keys, n)
+        yield from parts(keys, n)
 
-    def block(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+    def parts(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(keys), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + BATCH]), pa.array(n[lo : lo + BATCH])], ["key", "n"])
 
     return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -97,7 +113,7 @@ class Vocabulary:
 
     def __init__(self, total: int, distinct: int, known: list[tuple[int, int]], spelled: dict[int, tuple[int, int]], vocabulary: int) -> None:
         """known: (key, count) of frequent words; spelled: tokens and words of each spelling class, all words."""
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.most = total, distinct, vocabulary
         known = sorted(known)
         self.keys = np.array([k for k, _ in known], np.int64)
         self.counts = np.array([c for _, c in known], np.int64)
@@ -234,17 +250,20 @@ class Model:
         return g, h
 
 
-def vocabulary_of(counts: DataFrame, vocabulary: int = 4096, known: int = 65536) -> Vocabulary:
-    """counts: key and n of all training tokens."""
+def vocabulary_of(counts: DataFrame, vocabulary: int | None = None, known: int = 65536) -> Vocabulary:
+    """counts: key and n of all training tokens. known: the same at all sizes, as it changes no result."""
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
+    vocabulary = vocabulary or vocabulary_for(total)
+    known = max(known, vocabulary)  # all symbols are known words
     # At most `known` words can have that share.
     frequent = counts.where((F.col("n") * known >= total) | (F.col("key") == END)).select("key", "n").collect()
     spelled = counts.groupBy(F.col("key").bitwiseAND(F.lit(SPELLINGS - 1)).alias("s")).agg(F.sum("n").alias("t"), F.count("*").alias("w")).collect()
     return Vocabulary(total, distinct, [(r.key, r.n) for r in frequent], {r.s: (r.t, r.w) for r in spelled}, vocabulary)
 
 
-def fit(train: DataFrame, v: Vocabulary, dim: int = 1 << 18, rounds: int = 8, l2: float = 2.0) -> Model:
+def fit(train: DataFrame, v: Vocabulary, dim: int | None = None, rounds: int = 8, l2: float = 2.0) -> Model:
+    dim = dim or weights_for(v.most)
     model = Model(v, dim)
     if v.total == 0:
         return model
@@ -360,11 +379,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     )
 
 
-def learn_and_score(docs: DataFrame, train: DataFrame, vocabulary: int = 4096, known: int = 65536, rounds: int = 8) -> DataFrame:
-    """Counts and model from `train`, scores for `docs`."""
+def learn_and_score(docs: DataFrame, train: DataFrame, vocabulary: int | None = None, known: int = 65536, rounds: int = 8) -> DataFrame:
+    """Counts and model from `train`, scores for `docs`. vocabulary: sized by the training tokens if not given."""
     counts = materialize(counted(train, np.concatenate), "word-counts")
     v = vocabulary_of(counts, vocabulary, known)
-    rare = counts.where((F.col("n") * known < v.total) & (F.col("key") != END))
+    rare = counts.where((F.col("n") * max(known, v.most) < v.total) & (F.col("key") != END))
     return score(docs, fit(train, v, rounds=rounds), rare)
 
 

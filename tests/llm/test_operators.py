@@ -74,6 +74,18 @@ def test_language_model_sums_to_one(spark):
         assert p.sum() == pytest.approx(1.0)
 
 
+def test_language_model_grows():
+    sizes = [language_model.vocabulary_for(10**k) for k in range(14)]
+    assert sizes[0] == 4096 and sizes == sorted(sizes) and sizes[12] == 200_000 and sizes[13] > 2 * sizes[12]
+    for n in sizes:
+        assert 32 * n <= language_model.weights_for(n) <= 128 * n
+    # A word of 1 / vocabulary of all tokens is a symbol, whatever `known` is given.
+    words = [(64 * k, 10) for k in range(1, 100)]
+    v = language_model.Vocabulary(1000, 100, [*words, (language_model.END, 10)], {0: (1000, 100)}, 100)
+    assert v.head == 99 and v.most == 100
+    assert not language_model.Vocabulary(1000, 100, words, {0: (1000, 100)}, 99).head
+
+
 def test_language_model_without_training(edge):
     got = language_model.learn_and_score(edge, edge.limit(0), rounds=1).collect()
     assert len(got) == len(EDGE) and all(r.n_known == 0 and r.train_tokens == 0 for r in got)
