@@ -146,7 +146,9 @@ class Vocabulary:
         mass = np.bincount(self.of, share, self.classes)
         self.log_class = np.log(mass)
         self.log_within = np.log(share / mass[self.of])
-        widest = int(np.bincount(self.of).max())
+        self.width = np.bincount(self.of)
+        widest = int(self.width.max())
+        self.band = np.ceil(np.log2(self.width)).astype(np.int64)
         self.members = np.full((self.classes, widest), -1, np.int64)
         self.place = np.zeros(self.size, np.int64)
         for c in range(self.classes):
@@ -200,7 +202,7 @@ class Model:
         if classes is None:
             targets, start, mask = np.arange(self.v.classes)[None, :], self.v.log_class[None, :], None
         else:
-            targets = self.v.members[classes]
+            targets = self.v.members[classes][:, : self.v.width[classes].max()]
             mask = targets < 0
             start = self.v.log_within[np.maximum(targets, 0)]
         at = self.slots(contexts, targets, 0 if classes is None else 1)
@@ -210,6 +212,14 @@ class Model:
         top = z.max(1, keepdims=True)
         return z - top - np.log(np.exp(z - top).sum(1, keepdims=True)), at
 
+    def pieces(self, both: np.ndarray, rows: int = 4096) -> Iterator[np.ndarray]:
+        """Positions in `both` (contexts with classes) of classes about as wide, so few columns are worked out for nothing."""
+        band = self.v.band[both % self.v.classes]
+        for b in np.unique(band):
+            own = np.flatnonzero(band == b)
+            for lo in range(0, len(own), rows):
+                yield own[lo : lo + rows]
+
     def log10(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Of symbols in contexts; equal ones are worked out once."""
         pairs, back = np.unique(contexts * self.v.size + symbols, return_inverse=True)
@@ -221,7 +231,13 @@ class Model:
             own, which = np.unique(c[part], return_inverse=True)
             out[part] = self.layers(own)[0][which, klass]
             both, which = np.unique(c[part] * self.v.classes + klass, return_inverse=True)
-            out[part] += self.layers(*np.divmod(both, self.v.classes))[0][which, self.v.place[s[part]]]
+            place, more, at = self.v.place[s[part]], np.empty(len(which)), np.empty(len(both), np.int64)
+            for piece in self.pieces(both):
+                at.fill(-1)
+                at[piece] = np.arange(len(piece))
+                mine = at[which] >= 0
+                more[mine] = self.layers(*np.divmod(both[piece], self.v.classes))[0][at[which[mine]], place[mine]]
+            out[part] += more
         return (out / math.log(10))[back]
 
     def gradient(self, contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,17 +252,19 @@ class Model:
                 place = klass[rows] if layer == 0 else self.v.place[symbols[rows]]
                 of = contexts[rows] if layer == 0 else contexts[rows] * self.v.classes + klass[rows]
                 own, which = np.unique(of, return_inverse=True)
-                for lo in range(0, len(own), 4096):
-                    some = own[lo : lo + 4096]
-                    log_p, at = self.layers(some) if layer == 0 else self.layers(*np.divmod(some, self.v.classes))
+                order = np.empty(len(own), np.int64)
+                for piece in self.pieces(own) if layer else [np.arange(len(own))]:
+                    log_p, at = self.layers(*np.divmod(own[piece], self.v.classes)) if layer else self.layers(own)
                     p, seen = np.exp(log_p), np.zeros(log_p.shape)
-                    mine = (which >= lo) & (which < lo + 4096)
-                    np.add.at(seen, (which[mine] - lo, place[mine]), n[rows][mine])
+                    order.fill(-1)
+                    order[piece] = np.arange(len(piece))
+                    mine = order[which] >= 0
+                    np.add.at(seen, (order[which[mine]], place[mine]), n[rows][mine])
                     each = seen.sum(1, keepdims=True)
                     dg, dh = seen - each * p, each * p * (1 - p)
                     for kind in range(self.KINDS):
-                        g += np.bincount(at[:, kind].ravel(), dg.ravel(), 2 * self.dim)
-                        h += np.bincount(at[:, kind].ravel(), dh.ravel(), 2 * self.dim)
+                        np.add.at(g, at[:, kind].ravel(), dg.ravel())
+                        np.add.at(h, at[:, kind].ravel(), dh.ravel())
         return g, h
 
 
