@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import settled
+from . import similarity
 
 #: A graph of more edges isn't held by every task; its shortest paths are found by joins.
 MOST_EDGES = 2_000_000
@@ -19,15 +20,15 @@ def co_edges(df: DataFrame, user: str, item: str, threshold: int) -> DataFrame:
     """src, dst (src < dst), common: users who share `threshold` items or more."""
     if threshold < 1:
         raise ValueError("users without a common item can't be told apart from strangers: threshold must be 1 or more")
-    pairs = df.select(F.col(user).alias("u"), F.col(item).alias("item")).distinct()
-    # Users with fewer items have no edge.
-    pairs = pairs.join(pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("u"), "u", "left_semi")
-    met = pairs.withColumnRenamed("u", "src").join(pairs.withColumnRenamed("u", "dst"), "item").where("src < dst")
-    return met.groupBy("src", "dst").agg(F.count("*").alias("common")).where(F.col("common") >= threshold)
+    sets = similarity.as_lists(df.select(F.col(user).alias("id"), F.col(item).alias("element")))
+    found = similarity.overlaps(sets, lambda n: n - threshold + 1, lambda n, m: F.lit(threshold))
+    # Those who use the edges read them more than once.
+    return settled(found.select(F.col("a").alias("src"), F.col("b").alias("dst"), "common"), "edges")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(F.inline(ways)).distinct()
 
 
 def vertices(edges: DataFrame) -> DataFrame:
