@@ -100,9 +100,10 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
 
     Roots are dealt to tasks, each of which holds the edges if a count of them allows; else it goes by joins.
     """
-    undirected = both_ways(edges).where("src < dst")
+    # Written down: the count, the driver and the roots would each make the edges anew.
+    undirected = settled(both_ways(edges).where("src < dst"), "whole")
     if undirected.count() > MOST_EDGES:
-        return betweenness_by_joins(edges)
+        return betweenness_by_joins(undirected)
     spark = edges.sparkSession
     near: dict = {}
     for a, b in undirected.collect():
@@ -141,7 +142,7 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
 
     types = [to_arrow_type(schema[c].dataType) for c in ("src", "dst")]
     spec = f"src {schema['src'].dataType.simpleString()}, dst {schema['dst'].dataType.simpleString()}, part double"
-    roots = vertices(edges).repartition("id")
+    roots = vertices(undirected).repartition("id")
     parts = roots.mapInArrow(run, spec)
     return parts.groupBy("src", "dst").agg((F.sum("part") / 2).alias("betweenness")).orderBy(F.desc("betweenness"), "src", "dst")
 
