@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.sinks import settled
+from ..sources.sinks import discard, settled
 from . import similarity
 
 #: A graph of more edges isn't held by every task; its shortest paths are found by joins.
@@ -41,7 +41,12 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     labels = links.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
     for _ in range(rounds):
         votes = links.join(labels, F.col("dst") == F.col("id")).groupBy("src", "label").agg(F.count("*").alias("n"))
-        labels = settled(votes.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")), "labels")
+        now = settled(votes.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")), "labels")
+        discard(labels)
+        labels = now
+    # Nothing reads them after the last round; without a round labels are still made of them.
+    if rounds:
+        discard(links)
     return labels
 
 
@@ -51,12 +56,16 @@ def components(edges: DataFrame) -> DataFrame:
     labels = settled(links.select(F.col("src").alias("id"), F.col("src").alias("component")).distinct(), "labels")
     while True:
         near = links.join(labels, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("seen"))
-        now = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("seen", "component")).alias("component"))
+        # Written down: both sides of the jump would make it anew.
+        now = settled(labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("seen", "component")).alias("component")), "near")
         up = now.select(F.col("id").alias("component"), F.col("component").alias("top"))
         jumped = settled(now.join(up, "component").select("id", F.col("top").alias("component")), "labels")
-        if jumped.join(labels, ["id", "component"], "left_anti").isEmpty():
-            return labels
+        done = jumped.join(labels, ["id", "component"], "left_anti").isEmpty()
+        discard(now, labels)
         labels = jumped
+        if done:
+            discard(links)
+            return labels
 
 
 def members(labels: DataFrame, label: str) -> DataFrame:

@@ -15,6 +15,8 @@ from ..sources.sinks import settled
 WORDS = 8
 #: Sets that meet in one task are dealt to blocks of about so many.
 BLOCK = 8192
+#: So many different elements, by a sketch, have their counts broadcast to the sets; with more, sets go to the counts.
+COUNTED = 1_000_000
 MAPS = [f"w{k}" for k in range(WORDS)]
 
 
@@ -70,6 +72,19 @@ def in_blocks(rows: DataFrame, blocks: Column, *keys: str) -> tuple[DataFrame, D
 MET = "__i < __j or x.id < y.id"
 
 
+def meetings(rows: DataFrame, *keys: str) -> DataFrame:
+    """x, y (structs): every pair of a key's rows once. Keys of few rows are shuffled once for both sides, only hot ones are dealt to blocks."""
+    hot = settled(rows.groupBy(*keys).agg(F.count("*").alias("__c")).where(F.col("__c") > BLOCK).select(*keys, F.ceil(F.col("__c") / BLOCK).alias("__blocks")), "hot")
+    rest = F.struct(*(c for c in rows.columns if c not in keys))
+    none = hot.isEmpty()
+    one = (rows if none else rows.join(F.broadcast(hot), list(keys), "left_anti")).select(*keys, rest.alias("r"))
+    met = one.withColumnRenamed("r", "x").join(one.withColumnRenamed("r", "y"), list(keys)).where("x.id < y.id").select("x", "y")
+    if none:
+        return met
+    x, y = in_blocks(rows.join(F.broadcast(hot), list(keys)), F.col("__blocks"), *keys)
+    return met.unionByName(x.join(y, [*keys, "__i", "__j"]).where(MET).select(x["x"].dropFields("__blocks").alias("x"), y["y"].dropFields("__blocks").alias("y")))
+
+
 def classes(sets: DataFrame, *same: Column) -> tuple[DataFrame, DataFrame]:
     """Of each class of equal sets the one with the least id, and id, rep of all members of classes of two or more."""
     keyed = sets.select("id", *(c.alias(f"__s{k}") for k, c in enumerate(same)))
@@ -91,6 +106,15 @@ def of_members(pairs: DataFrame, members: DataFrame, equal: DataFrame | None = N
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *rest).unionByName(inside)
 
 
+def with_counts(lists: DataFrame, written: bool) -> DataFrame:
+    """id, n, element, df of the elements of lists that more than one set has; df: so many sets. Only lists that are written down are read twice."""
+    each = lists.select("id", "n", F.explode("s").alias("element"))
+    if not written or each.agg(F.approx_count_distinct("element")).first()[0] > COUNTED:
+        return each.withColumn("df", F.count("*").over(Window.partitionBy("element"))).where("df > 1")
+    counts = settled(each.groupBy("element").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    return each.join(F.broadcast(counts), "element").select("id", "n", "element", "df")
+
+
 def overlaps(lists: DataFrame, prefix: Callable[[Column], Column], need: Callable[[Column, Column], Column], bits: int = 64 * WORDS) -> DataFrame:
     """a, b (a < b), total, common: pairs of sets (id, s) of n and m elements, total in sum, that share need(n, m) elements or more; exact.
 
@@ -106,9 +130,8 @@ def overlaps(lists: DataFrame, prefix: Callable[[Column], Column], need: Callabl
         known = [r[0] for r in lists.select(F.explode("s")).distinct().limit(bits + 1).collect()]
         if len(known) <= bits:
             return by_bitmaps(lists, known, need)
-    each = lists.select("id", "n", F.explode("s").alias("element")).withColumn("df", F.count("*").over(Window.partitionBy("element"))).where("df > 1")
-    # Whole groups come to a task before they are made: halves of groups would be shuffled as arrays.
-    each = each.withColumn("__slot", F.xxhash64("element")).repartition("id")
+    # Whole groups come to a task before they are made: halves of groups would be shuffled as arrays. Slots are made there, too: no codec shortens them.
+    each = with_counts(lists, bits > 0).repartition("id").withColumn("__slot", F.xxhash64("element"))
     sets = each.groupBy("id").agg(F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("df", "element"))), lambda x: x["element"]).alias("s"), *bitmap())
     # Elements of no other set are the rarest: they come first, and aren't kept.
     sets = sets.withColumn("m", F.size("s").cast("long")).where(F.col("n") - F.col("m") < prefix(F.col("n")))
@@ -118,12 +141,9 @@ def overlaps(lists: DataFrame, prefix: Callable[[Column], Column], need: Callabl
     reps = settled(reps, "representatives")
     rows = reps.select("id", "n", "m", *MAPS, F.posexplode(F.slice("s", F.lit(1), F.greatest(prefix(F.col("n")) - F.col("n") + F.col("m"), F.lit(0)).cast("int"))).alias("at", "element"))
     rows = rows.withColumn("at", F.col("n") - F.col("m") + F.col("at") + 1)
-    hot = rows.groupBy("element").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("element", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-    rows = rows.join(F.broadcast(settled(hot, "hot")), "element", "left")
-    x, y = in_blocks(rows, F.coalesce("blocks", F.lit(1)), "element")
     least = need(F.col("x.n"), F.col("y.n"))
     first = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    met = x.join(y, ["element", "__i", "__j"]).where(MET).where((least <= first) & (least <= F.least("x.m", "y.m")))
+    met = meetings(rows, "element").where((least <= first) & (least <= F.least("x.m", "y.m")))
     met = met.where((F.col("x.m") - without("x", "y") >= least) & (F.col("y.m") - without("y", "x") >= least))
     pairs = settled(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     side = lambda c, s: reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(s))
