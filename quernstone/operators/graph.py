@@ -153,7 +153,10 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
     spec = f"src {schema['src'].dataType.simpleString()}, dst {schema['dst'].dataType.simpleString()}, part double"
     roots = vertices(undirected).repartition("id")
     parts = roots.mapInArrow(run, spec)
-    return parts.groupBy("src", "dst").agg((F.sum("part") / 2).alias("betweenness")).orderBy(F.desc("betweenness"), "src", "dst")
+    out = parts.groupBy("src", "dst").agg((F.sum("part") / 2).alias("betweenness")).orderBy(F.desc("betweenness"), "src", "dst")
+    # Whoever has collected them may discard what they were read from.
+    out.settled_at = undirected.settled_at
+    return out
 
 
 def modularity(edges: DataFrame, labels: DataFrame, degrees_of: DataFrame | None = None) -> float:
@@ -203,7 +206,9 @@ def girvan_newman(edges: DataFrame, textbook: bool = False) -> DataFrame:
     left, best, best_q = undirected, None, None
     whole: list[tuple] | None = None
     while True:
-        ranked = [(r.src, r.dst, round(r.betweenness, 5)) for r in edge_betweenness(left).collect()]
+        found = edge_betweenness(left)
+        ranked = [(r.src, r.dst, round(r.betweenness, 5)) for r in found.collect()]
+        discard(found, left)
         remaining = [(a, b) for a, b, _ in ranked]
         if whole is None:
             whole, ids = remaining, sorted({v for e in remaining for v in e})
